@@ -51,6 +51,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.summary(table_dir(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockstrata.llm import neardup as m
+
+    return m.near_duplicates(table_dir(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockstrata.llm import quality as m
 
@@ -60,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the subpackage by name."""
-    return {f.__name__: f for f in (op4_contamination, op6_bpe, op7_token_counts, op8_pii, op10_quality)}
+    return {f.__name__: f for f in (op4_contamination, op6_bpe, op7_token_counts, op8_pii, op9_near_duplicates, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
