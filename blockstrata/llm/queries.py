@@ -27,6 +27,12 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockstrata.llm import topk as m
+
+    return m.top_k(table_dir(spark, sf_dir, "embeddings"))
+
+
 def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockstrata.llm import contamination as m
 
@@ -66,9 +72,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the subpackage by name."""
-    return {f.__name__: f for f in (op4_contamination, op6_bpe, op7_token_counts, op8_pii, op9_near_duplicates, op10_quality)}
+    return {f.__name__: f for f in (op1_top_k, op4_contamination, op6_bpe, op7_token_counts, op8_pii, op9_near_duplicates, op10_quality)}
+
+
+OP1_SQL = """
+WITH rows AS (
+  SELECT DISTINCT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express over whole tables."""
-    return {}
+    return {"op1_top_k": OP1_SQL}
