@@ -50,3 +50,19 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes; null is empty, unpaired surrogates become replacement marks."""
     return b"" if text is None else text.encode("utf-8", "replace")
+
+
+#: Ids that may be broadcast at most, some 20 MB of them in memory.
+BROADCAST_IDS = 500_000
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids``.
+
+    A counted, small list of ids is broadcast, so the texts stay where they are; a
+    longer one meets them in a shuffle.
+    """
+    from blockstrata.runtime import cut
+
+    ids = cut(ids.select("doc_id"))
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockstrata.llm.bpe import Memory
-from blockstrata.llm.common import arrow_batches, id_text, ship, utf8
+from blockstrata.llm.common import arrow_batches, id_text, only_ids, ship, utf8
 from blockstrata.runtime import cut
 
 SHINGLE = 4
@@ -161,7 +161,7 @@ def linked(a: Column, b: Column, percent: int = PERCENT) -> Column:
 def candidate_sets(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The full sets of every document in pairs (a, b), kept in the shared folder."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return cut(full_sets(docs.join(ids, "doc_id", "left_semi"), shingle))
+    return cut(full_sets(only_ids(docs, ids), shingle))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
