@@ -45,6 +45,12 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.contamination(table_dir(spark, sf_dir, "documents"), table_dir(spark, sf_dir, "benchmark"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockstrata.llm import tokenfile as m
+
+    return m.round_trip(table_dir(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockstrata.llm import bpe as m
 
@@ -78,7 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the subpackage by name."""
-    return {f.__name__: f for f in (op1_top_k, op3_shared_passages, op4_contamination, op6_bpe, op7_token_counts, op8_pii, op9_near_duplicates, op10_quality)}
+    return {f.__name__: f for f in (op1_top_k, op3_shared_passages, op4_contamination, op5_token_files, op6_bpe, op7_token_counts, op8_pii, op9_near_duplicates, op10_quality)}
 
 
 OP1_SQL = """
