@@ -33,6 +33,12 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.top_k(table_dir(spark, sf_dir, "embeddings"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockstrata.llm import licenses as m
+
+    return m.find_licenses(table_dir(spark, sf_dir, "documents"))
+
+
 def op3_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockstrata.llm import passages as m
 
@@ -84,7 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of the subpackage by name."""
-    return {f.__name__: f for f in (op1_top_k, op3_shared_passages, op4_contamination, op5_token_files, op6_bpe, op7_token_counts, op8_pii, op9_near_duplicates, op10_quality)}
+    return {f.__name__: f for f in (op1_top_k, op2_licenses, op3_shared_passages, op4_contamination, op5_token_files, op6_bpe, op7_token_counts, op8_pii, op9_near_duplicates, op10_quality)}
 
 
 OP1_SQL = """

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from blockstrata.llm import bpe, contamination, pii, quality
+from blockstrata.llm import bpe, contamination, neardup, pii, quality
 from blockstrata.llm.queries import split_pattern, vocabulary
 from blockstrata.runtime import table_dir
 
@@ -14,6 +15,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, quality.fit(docs, table_dir(spark, sf_dir, "labels")))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each group of documents that share 0.8 of their five-word shingles."""
+    gone = neardup.near_duplicates(docs, shingle=5).filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold eight words in a row of a benchmark item."""
     return contamination.drop_contaminated(docs, table_dir(spark, sf_dir, "benchmark"))
@@ -29,7 +36,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern())
 
 
-STAGES = [("quality", keep_quality), ("decontamination", drop_leaks), ("pii", mask_private), ("bpe", to_tokens)]
+STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("pii", mask_private), ("bpe", to_tokens)]
 
 #: The learned scores and the merges of byte pairs are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
