@@ -112,17 +112,17 @@ def shards(benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> list[list[tuple[
     return [[tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``docs`` with the columns n_words, hits (word intervals as a flat array) and items.
+#: Columns that a scan adds; their names keep clear of those of any input.
+N_WORDS, HITS, ITEMS = "_scan_n_words", "_scan_hits", "_scan_items"
+
 
-    Input columns of these names are replaced.
-    """
+def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``docs`` with the columns N_WORDS, HITS (word intervals as a flat array) and ITEMS."""
     spark = docs.sparkSession
     ship(spark)
     arrow_batches(spark)
-    base = docs.drop("n_words", "hits", "items")
     parts = shards(benchmark, max_bytes)
-    df = base.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<long>"), "items": F.array().cast("array<long>")})
+    df = docs.withColumns({N_WORDS: F.lit(0).cast("long"), HITS: F.array().cast("array<long>"), ITEMS: F.array().cast("array<long>")})
     for k, part in enumerate(parts):
         df = _scan(df, part, size)
         if k + 1 < len(parts):
@@ -133,7 +133,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ma
 def _scan(df: DataFrame, items: list, size: int) -> DataFrame:
     names = df.columns
     shared = df.sparkSession.sparkContext.broadcast(items)  # one shard, bounded by max_bytes
-    text, nw, hs, its = (names.index(c) for c in ("text", "n_words", "hits", "items"))
+    text, nw, hs, its = (names.index(c) for c in ("text", N_WORDS, HITS, ITEMS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value, size)
@@ -152,21 +152,21 @@ def _scan(df: DataFrame, items: list, size: int) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit intervals of each document."""
-    df = scan_documents(id_text(docs), benchmark)
-    n_hit = F.aggregate(F.sequence(F.lit(0), (F.size("hits") / 2 - 1).cast("int")), F.lit(0).cast("long"), lambda a, k: a + F.element_at("hits", 2 * k + 2) - F.element_at("hits", 2 * k + 1))
+    df = scan_documents(id_text(docs), benchmark, max_bytes=max_bytes)
+    pairs = F.sequence(F.lit(0), (F.size(HITS) / 2 - 1).cast("int"))
+    n_hit = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, k: a + F.element_at(HITS, 2 * k + 2) - F.element_at(HITS, 2 * k + 1))
     return df.select(
-        "doc_id", "n_words", F.when(F.size("hits") > 0, n_hit).otherwise(F.lit(0).cast("long")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>"))).cast("binary"), 256).alias("items_sha256"),
-        (F.size("items") >= min_items).alias("contaminated"), F.concat_ws(",", F.col("hits").cast("array<string>")).alias("hit_words"),
+        "doc_id", F.col(N_WORDS).alias("n_words"), F.when(F.size(HITS) > 0, n_hit).otherwise(F.lit(0).cast("long")).alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort(F.col(ITEMS).cast("array<string>"))).cast("binary"), 256).alias("items_sha256"),
+        (F.size(ITEMS) >= min_items).alias("contaminated"), F.concat_ws(",", F.col(HITS).cast("array<string>")).alias("hit_words"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 1) -> DataFrame:
     """The rows of ``docs`` with fewer than ``min_items`` items in them, with all their columns."""
-    found = scan_documents(docs, benchmark).filter(F.size("items") < min_items)
-    return found.select(*docs.columns)
+    return scan_documents(docs, benchmark).filter(F.size(ITEMS) < min_items).select(*docs.columns)
 
 
 def digest(items: set[int]) -> str:
