@@ -55,7 +55,7 @@ def _ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _FIRST, _WIDTH, _RANGE = _ranges()
 _SHIFT = np.array([int(w).bit_length() - 1 for w in _WIDTH], dtype=np.int32)
 _RANGE = _RANGE.astype(np.int16)
-_N, _CUM, _SHARE = len(_FIRST), (1 << 21) - 1, (1 << 24) - 1
+_N, _SHARE, _FAN = len(_FIRST), (1 << 24) - 1, 16
 
 
 class _Model:
@@ -76,13 +76,21 @@ class _Model:
         self.rebuild(lanes)
 
     def rebuild(self, n: int) -> None:
-        """Order 0's intervals from its counts; every id keeps a share. A cell is lane, start and share in one number."""
+        """Order 0's intervals from its counts; every id keeps a share. A cell is start and share in one number."""
         c = self.count[:n]
         share = (((1 << _BASE) - (1 << BITS)) // c.sum(axis=1)).astype(np.int32)
         q = 1 + (c * share[:, None] >> _SHIFT)
         cum = np.zeros((n, _N), dtype=np.int32)
         np.cumsum((q << _SHIFT)[:, :-1], axis=1, out=cum[:, 1:])
-        self.cells = ((cum + (self.lane[:n, None] << 21) << 24) | q).ravel()
+        self.cells = (cum.astype(np.int64) << 24 | q).ravel()
+        self.coarse = np.ascontiguousarray(cum[:, ::_FAN])
+        self.fine = cum.reshape(-1, _FAN)
+
+    def cell_of(self, lanes: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The cell of order 0 that holds each value, by comparing with every 16th start and then with 16."""
+        w = v.astype(np.int32)[:, None]
+        row = lanes * (_N // _FAN) + (self.coarse[lanes] <= w).sum(axis=1) - 1
+        return row * _FAN + (self.fine[row] <= w).sum(axis=1) - 1
 
     def predict(self, n: int) -> None:
         """The two predicted ids and their masses, for the ids that follow."""
@@ -150,7 +158,7 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
         r = _RANGE[x]
         cell = model.cells[model.base0[:n] + r]
         q = cell & _SHARE
-        c = (cell >> 24 & _CUM) + (x - _FIRST[r]) * q
+        c = (cell >> 24) + (x - _FIRST[r]) * q
         rest = (1 << _TOTAL) - f2 - f1
         lo = c * rest >> _BASE
         start = np.where(h2, 0, np.where(h1, f2, f2 + f1 + lo)).astype(np.uint64)
@@ -213,10 +221,10 @@ def decode_ids(data: bytes) -> np.ndarray:
         rest = (1 << _TOTAL) - f2[k] - f1[k]
         u = v[k] - f2[k] - f1[k]
         w = ((u + 1 << _BASE) - 1) // rest
-        at = np.searchsorted(model.cells, w + (k << 21) << 24 | _SHARE, side="right") - 1
+        at = model.cell_of(k, w)
         cell = model.cells[at]
         q, r = cell & _SHARE, at - k * _N
-        c = cell >> 24 & _CUM
+        c = cell >> 24
         off = np.minimum((w - c) // q, _WIDTH[r] - 1)
         x[k] = _FIRST[r] + off
         c += off * q
