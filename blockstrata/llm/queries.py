@@ -107,6 +107,55 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), patterns AS (
+  SELECT DISTINCT item_id, w[k : k + least(8, len(w)) - 1] AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS k FROM i WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT len(p) AS n FROM patterns
+), places AS (
+  SELECT doc_id, n, k, w[k : k + n - 1] AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)
+), found AS (
+  SELECT doc_id, item_id, n, k FROM places JOIN patterns USING (p)
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY 1
+), hit AS (
+  SELECT DISTINCT doc_id, unnest(range(k - 1, k - 1 + n)) AS place FROM (SELECT DISTINCT doc_id, n, k FROM found)
+), runs AS (
+  SELECT doc_id, min(place) AS s, max(place) + 1 AS e FROM (SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS g FROM hit) GROUP BY doc_id, g
+), spans AS (
+  SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n_hit, string_agg(s || ',' || e, ',' ORDER BY s) AS hit_words FROM runs GROUP BY 1
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_items, 0) >= 2 AS contaminated, coalesce(hit_words, '') AS hit_words
+FROM d LEFT JOIN items USING (doc_id) LEFT JOIN spans USING (doc_id)
+"""
+
+OP9_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS k FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY 1
+), both_in AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM both_in JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_in.n >= 80 * (x.n + y.n - both_in.n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach.b) AS component_id, min(reach.b) = d.doc_id AS kept
+FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express over whole tables."""
-    return {"op1_top_k": OP1_SQL}
+    return {"op1_top_k": OP1_SQL, "op4_contamination": OP4_SQL, "op9_near_duplicates": OP9_SQL}
