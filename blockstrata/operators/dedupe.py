@@ -64,3 +64,18 @@ def zero_elimination(blocks: DataFrame, zero) -> DataFrame:
 def shared_keys(keys: DataFrame, *by: str) -> DataFrame:
     """Index keys of more than one name: each such name needs a full entry."""
     return keys.groupBy(*by).agg(F.countDistinct("name").alias("names")).filter("names > 1")
+
+
+def outcomes(blocks: DataFrame, index: DataFrame, stored: DataFrame, order: list[str], limit: int = C.MAX_REFS) -> DataFrame:
+    """What becomes of each block (name, data): new, dup, stale, collision or rollover.
+
+    The first block of a name is new, a dup of what the index names, or stale if that
+    differs. Later ones are dups of the first, collisions if they differ from it, and
+    rollovers where a copy runs out of references.
+    """
+    w = Window.partitionBy("name").orderBy(*order)
+    n = F.row_number().over(w)
+    own = blocks.withColumns({"nth": n, "lead": F.first("data").over(w)})
+    seen = verify(candidates(own, index), stored)
+    later = F.when(F.col("data") != F.col("lead"), "collision").when((F.col("nth") - 1) % limit == 0, "rollover").otherwise("dup")
+    return seen.withColumn("outcome", F.when(F.col("nth") == 1, F.col("outcome")).otherwise(later)).drop("nth", "lead", "stored")

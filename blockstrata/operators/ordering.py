@@ -102,3 +102,18 @@ def delta_gaps(keys: DataFrame, group: str, value: str) -> DataFrame:
     """Gap of each value to the one before it in its list; the first counts from 0."""
     w = Window.partitionBy(group).orderBy(value)
     return keys.withColumn("gap", F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0)))
+
+
+def by_page(entries: DataFrame, page: str, *order: str) -> DataFrame:
+    """Entries with each page's together and in order, page after page, for writers that apply them in one pass."""
+    return entries.repartition(page).sortWithinPartitions(page, *order)
+
+
+def reuse_gap(accesses: DataFrame, key: str, seq: str) -> DataFrame:
+    """Accesses since the last one of the same key; null for the first."""
+    return accesses.withColumn("reuse", F.col(seq) - F.lag(seq).over(Window.partitionBy(key).orderBy(seq)))
+
+
+def notify_all(waiters: DataFrame, callback, schema: str) -> DataFrame:
+    """Apply a function of Arrow-backed pandas batches to every waiter."""
+    return waiters.mapInPandas(callback, schema)
