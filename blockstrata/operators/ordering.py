@@ -10,16 +10,19 @@ from pyspark.sql.window import Window
 def merge_adjacent(requests: DataFrame, place: str, *same: str, stretch: int = 1 << 16) -> DataFrame:
     """Runs of consecutive places among requests with equal ``same``: first, last and length.
 
-    Runs are found in stretches of the address space and joined where a stretch ends
-    in the middle of one, so the address space is not sorted in one task.
+    Runs are found in stretches of the address space. Only those that touch an end of
+    their stretch, two in each at most, are then joined with one another.
     """
-    own = requests.select(*same, F.col(place).alias("p")).distinct().withColumn("stretch", F.call_function("div", F.col("p"), F.lit(stretch)))
+    own = requests.select(*same, F.col(place).alias("p")).distinct().withColumn("stretch", F.floor(F.col("p") / stretch).cast("long"))
     w = Window.partitionBy(*same, "stretch").orderBy("p")
     runs = own.withColumn("island", F.col("p") - F.row_number().over(w)).groupBy(*same, "stretch", "island").agg(F.min("p").alias("first"), F.max("p").alias("last"))
+    at_end = (F.col("first") % stretch == 0) | ((F.col("last") + 1) % stretch == 0)
     w2 = Window.partitionBy(*same).orderBy("first") if same else Window.orderBy("first")
+    ends = runs.filter(at_end)
     starts = F.when(F.col("first") != F.coalesce(F.lag("last").over(w2) + 1, F.col("first") - 1), 1).otherwise(0)
-    joined = runs.withColumn("s", starts).withColumn("run", F.sum("s").over(w2))
-    return joined.groupBy(*same, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("length", F.col("last") - F.col("first") + 1).drop("run")
+    joined = ends.withColumn("s", starts).withColumn("run", F.sum("s").over(w2)).groupBy(*same, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+    out = runs.filter(~at_end).select(*same, "first", "last").unionByName(joined.select(*same, "first", "last"))
+    return out.withColumn("length", F.col("last") - F.col("first") + 1)
 
 
 def interleave(records: DataFrame, zone: str, arrival: str, zones: int) -> DataFrame:

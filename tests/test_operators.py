@@ -193,3 +193,12 @@ def test_streamed_answers_equal_batch(spark, tmp_path):
     q = ST.answers(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "seq", "found", "old_metadata") == key_machine(own)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 7, 1 << 16])
+def test_merge_of_adjacent_requests(spark, stretch):
+    from blockstrata.operators import ordering as O
+
+    places = [-3, -2, 0, 1, 2, 3, 4, 5, 6, 7, 8, 20, 22, 23, 35, 36, 37]
+    df = spark.createDataFrame([(p,) for p in places + places[:3]], "p long")
+    assert rows(O.merge_adjacent(df, "p", stretch=stretch), "first", "last") == [(-3, -2), (0, 8), (20, 20), (22, 23), (35, 37)]
