@@ -8,7 +8,7 @@ from blockstrata.runtime import table_dir
 
 
 def test_stages(spark, tmp_path):
-    from test_operators import plain_near
+    from test_corpus_operators import plain_near
 
     docs = table_dir(spark, DATA, "documents")
     names = docs.columns
