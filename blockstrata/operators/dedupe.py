@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockstrata import config as C
+from blockstrata.operators.ordering import ranks
 
 
 def totals(blocks: DataFrame, zero=None) -> DataFrame:
@@ -31,8 +32,7 @@ def dedup_map(blocks: DataFrame, order: list[str]) -> DataFrame:
 
 def with_copies(blocks: DataFrame, order: list[str], limit: int = C.MAX_REFS) -> DataFrame:
     """Every block with the number of the stored copy that it refers to: each copy takes ``limit`` references in arrival order."""
-    w = Window.partitionBy("name").orderBy(*order)
-    return blocks.withColumn("copy_no", F.call_function("div", F.row_number().over(w) - 1, F.lit(limit)))
+    return ranks(blocks, "name", order, "nth").withColumn("copy_no", F.call_function("div", F.col("nth"), F.lit(limit))).drop("nth")
 
 
 def copies_needed(blocks: DataFrame, key: str = "name", limit: int = C.MAX_REFS) -> DataFrame:

@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def ranks(rows: DataFrame, key: str, order: list[str], name: str, buckets: int = 64) -> DataFrame:
+    """Rows numbered from 0 within each key in the order of ``order``, whose first column is a number.
+
+    A key's rows are ranked in ranges of that column and numbered on from the counts of
+    the ranges before, so a key with a third of all rows is spread over ``buckets`` tasks.
+    """
+    by = F.col(order[0])
+    edges = rows.select(F.percentile_approx(by, [k / buckets for k in range(1, buckets)], 1000).alias("e")).first()[0] or []  # at most one number a bucket
+    bucket = F.lit(0)
+    for e in sorted(set(edges)):
+        bucket = bucket + F.when(by > e, 1).otherwise(0)
+    own = rows.withColumn("_bucket", bucket)
+    sizes = own.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+    before = sizes.select(key, "_bucket", (F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)) - 1
+    return own.withColumn("_nth", nth).join(before, [key, "_bucket"]).withColumn(name, F.col("_before") + F.col("_nth")).drop("_bucket", "_before", "_nth")
+
+
 def merge_adjacent(requests: DataFrame, place: str, *same: str, stretch: int = 1 << 16) -> DataFrame:
     """Runs of consecutive places among requests with equal ``same``: first, last and length.
 
