@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from blockstrata import config as C
 from blockstrata.functions import layout as L
 from blockstrata.functions.checks import valid_location
+from blockstrata.runtime import cut
 
 
 def counts(block_map: DataFrame) -> DataFrame:
@@ -66,15 +67,16 @@ def rotor(requests: DataFrame, zones: int, number: str = "number") -> DataFrame:
     return requests.withColumn("zone", F.call_function("div", F.col(number), F.lit(C.ALLOCATIONS_PER_ZONE)) % zones)
 
 
-def allocate(first: DataFrame, base: int = 1, buckets: int = 256) -> DataFrame:
+def allocate(first: DataFrame, base: int = 1, parts: int | None = None) -> DataFrame:
     """A physical block for each row of ``first`` in the order of ``place``.
 
-    Numbers come from counts of ``buckets`` ranges and ranks within each, so that no task sorts all rows.
+    Rows are dealt by ranges of ``place`` and sorted within each; numbers go on from the
+    counts of the ranges before, so no task sorts all rows. The dealt rows are kept in the
+    shared folder, for their counts and their numbers must come from the same ranges.
     """
-    edges = first.select(F.percentile_approx(F.col("place"), [k / buckets for k in range(1, buckets)], 10_000).alias("e")).first()[0] or []
-    b = F.aggregate(F.array(*[F.lit(x) for x in sorted(set(edges))] or [F.lit(None).cast("long")]), F.lit(0), lambda n, e: n + F.when(F.col("place") > e, 1).otherwise(0))
-    own = first.withColumn("bucket", b)
-    sizes = own.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))  # one row a bucket
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("place"))
-    return own.join(F.broadcast(before), "bucket").withColumn("pbn", F.col("before") + rank - 1 + base).drop("bucket", "before")
+    n = [parts] if parts else []
+    own = cut(first.repartitionByRange(*n, F.col("place")).sortWithinPartitions("place").withColumn("_at", F.monotonically_increasing_id()))
+    own = own.select(*first.columns, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth"))
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a range
+    return own.join(F.broadcast(before), "_part").withColumn("pbn", F.col("_before") + F.col("_nth") + base).drop("_part", "_nth", "_before")

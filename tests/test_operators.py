@@ -152,7 +152,7 @@ def test_rebuild_skips_damage(spark):
 
 def test_allocation_numbers_are_dense(spark):
     f = spark.range(1000).select((F.col("id") * 17).alias("place"))
-    got = rows(R.allocate(f, base=1, buckets=7), "place", "pbn")
+    got = rows(R.allocate(f, base=1, parts=7), "place", "pbn")
     assert [p for _, p in got] == list(range(1, 1001))
 
 
