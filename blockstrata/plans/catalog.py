@@ -19,7 +19,7 @@ from blockstrata.operators import ordering as O
 from blockstrata.operators import packing as P
 from blockstrata.operators import refs as R
 from blockstrata.operators import stats as S
-from blockstrata.runtime import arrow_batches, ship, table_dir
+from blockstrata.runtime import ship, table_dir
 from blockstrata.sources import chapters as H
 from blockstrata.sources import streams as T
 
