@@ -155,6 +155,31 @@ def test_shared_passages(spark, none):
     assert passages.shared_passages(none).count() == 0
 
 
+def plain_shared(a, b, least=50, alike=0.8):
+    """Whether two texts share a passage on one diagonal, by trying every start and length."""
+    for d in range(-len(b), len(a)):
+        hit = np.cumsum([0] + [a[i] == b[i - d] for i in range(max(d, 0), min(len(a), len(b) + d))])
+        for s in range(len(hit) - least):
+            n = np.arange(least, len(hit) - s)
+            if (hit[s + least :] - hit[s] >= alike * n).any():
+                return True
+    return False
+
+
+def test_shared_passages_near_the_limit(spark):
+    rng = random.Random(14)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    texts = {}
+    for n in range(90):
+        size, every = (50, 60, 100)[n % 3], (5, 6, 8)[n // 3 % 3]
+        shared = fresh(size)
+        other = [f"x{i}" if i % every == every // 2 else w for i, w in enumerate(shared)]
+        texts[2 * n], texts[2 * n + 1] = fresh(40) + shared + fresh(40), fresh(30) + other + fresh(50)
+    want = {(2 * n + 1, 2 * n) for n in range(90) if plain_shared(texts[2 * n], texts[2 * n + 1])}
+    got = {(r.doc_id, r.other_id) for r in passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
+    assert len(want) == 90 and got == want
+
+
 # op4
 
 
