@@ -180,6 +180,16 @@ def test_shared_passages_near_the_limit(spark):
     assert len(want) == 90 and got == want
 
 
+def test_shared_passages_behind_partial_quotes(spark):
+    rng = random.Random(15)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    long, shared = fresh(200), fresh(60)
+    rows = [fresh(50) + shared[:40] + fresh(50), fresh(50) + shared[20:] + fresh(50), fresh(30) + shared + fresh(30), fresh(20) + shared + fresh(40)]
+    rows += [fresh(40) + long[at : at + 45] + fresh(40) for at in range(0, 200, 30)] + [fresh(30) + long + fresh(30), long + fresh(60)]
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.other_id, r.start, r.stop) for r in got) == [(3, 2, 20, 80), (12, 11, 0, 200)]
+
+
 # op4
 
 
