@@ -190,6 +190,15 @@ def test_shared_passages_behind_partial_quotes(spark):
     assert sorted((r.doc_id, r.other_id, r.start, r.stop) for r in got) == [(3, 2, 20, 80), (12, 11, 0, 200)]
 
 
+def test_shared_passages_at_every_place(spark):
+    rng = random.Random(16)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    shared, quoted, hub = fresh(60), fresh(70), fresh(60)
+    rows = [fresh(20) + shared + fresh(20), fresh(10) + shared + fresh(30) + shared + fresh(5), quoted[:30] + fresh(40) + quoted, fresh(7) + quoted[:30] + fresh(50) + quoted, hub + fresh(30) + hub, fresh(15) + hub]
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.other_id, r.start, r.stop, r.other_start, r.other_stop) for r in got) == [(1, 0, 10, 70, 20, 80), (1, 0, 100, 160, 20, 80), (3, 2, 87, 157, 70, 140), (5, 4, 15, 75, 0, 60), (5, 4, 15, 75, 90, 150)]
+
+
 # op4
 
 
