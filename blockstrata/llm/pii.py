@@ -2,8 +2,8 @@ r"""Personal data: patterns propose spans, checksums confirm them, context score
 
 Four base kinds (email, ip, card, phone) are leftmost, non-overlapping matches of
 their pattern that pass their check; a match that fails is dropped and not tried
-again from a later start. Further kinds come from the method: ``iban`` (mod-97),
-``ssn`` (needs a context word), ``secret`` (access keys and assigned passwords).
+again from a later start. Further kinds come from the method: ``iban`` (mod-97, tried at
+the country's length, then at each word end of a match from the last), ``ssn`` (needs a context word), ``secret`` (access keys and assigned passwords).
 Offsets are code points, ends are exclusive.
 
 Defined results: null and empty text have no spans; whole texts are scanned however
@@ -41,6 +41,12 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b")
+#: Characters of an account number by country, as registered under ISO 13616.
+_IBAN_SIZE = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT",
+}.items() for c in cs.split()}
+_IBAN_WORD = re.compile(r"[A-Z0-9]++")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}\b")
 _ASSIGNED = re.compile(r"(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,})")
@@ -66,6 +72,20 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str):
+    """Account numbers: from each start the word end of the country's length, else the last one, at which mod-97 passes."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, ends = m.start(), [w.end() for w in _IBAN_WORD.finditer(text, m.start(), m.end())]
+        size = _IBAN_SIZE.get(text[start : start + 2])
+        at = ends[0]
+        for e in sorted(ends, key=lambda e: (len(text[start:e].replace(" ", "")) != size, -e)):
+            if mod97(text[start:e]):
+                yield start, e
+                at = e
+                break
+
+
 def _octet(s: str) -> bool:
     s = s.lstrip("0")
     return len(s) <= 3 and (not s or int(s) <= 255)
@@ -108,7 +128,7 @@ def spans(text: str | None) -> list[tuple[int, int, int, float]]:
     found = base_spans(text)
     more: list[tuple[int, int, int]] = []
     if _ANY_DIGIT.search(text):
-        more += [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
+        more += [(s, 4, e) for s, e in ibans(text)]
         more += [(m.start(), 5, m.end()) for m in _SSN.finditer(text)]
     if "AKIA" in text:
         more += [(m.start(), 6, m.end()) for m in _ACCESS_KEY.finditer(text)]

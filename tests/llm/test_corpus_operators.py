@@ -375,6 +375,16 @@ def test_pii_method_and_mask():
     assert pii.mask(None) is None and pii.mask("clean") == "clean"
 
 
+def test_pii_iban_before_upper_case_words():
+    for text in ("DE89 3704 0044 0532 0130 00 EUR 50", "GB82 WEST 1234 5698 7654 32 BIC NWBKGB2L", "DE89370400440532013000 GB82 WEST 1234 5698 7654 32 USD"):
+        assert pii.KINDS.index("iban") in {k for _, k, _, _ in pii.spans(text)}
+    assert pii.mask("DE89 3704 0044 0532 0130 00 EUR 50") == "<IBAN> EUR 50"
+    assert pii.mask("to GB82 WEST 1234 5698 7654 32 BIC NWBKGB2L") == "to <IBAN> BIC NWBKGB2L"
+    assert pii.mask("DE89370400440532013000 GB82 WEST 1234 5698 7654 32 USD") == "<IBAN> <IBAN> USD"
+    assert pii.mask("REF AB12 DE89 3704 0044 0532 0130 00") == "REF AB12 <IBAN>"
+    assert not pii.spans("DE89 3704 0044 0532 0130 01 EUR 50")
+
+
 # op9
 
 
