@@ -146,7 +146,7 @@ def q14_missing_decrements(spark, d):
     e = J.entries(w)
     end = w.groupBy("lbn").agg(F.max("point").alias("end"))
     cut = e.join(end, "lbn").filter(~((F.col("lbn") % 7 == 0) & (F.col("point") == F.col("end")) & (F.col("delta") < 0))).drop("end")
-    return J.missing_decrements(cut.filter("lbn % 7 = 0"), w.groupBy("lbn").agg(F.lit(None).cast("long").alias("pbn")))
+    return J.missing_decrements(cut, w.groupBy("lbn").agg(F.lit(None).cast("long").alias("pbn")))
 
 
 @query("WITH g AS (SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) SELECT user_id, event_id FROM g WHERE gap > 5000000")
