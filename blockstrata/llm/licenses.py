@@ -125,20 +125,28 @@ class Finder:
                 first = k
         return out
 
-    def _region(self, w: list[str], lo: int, hi: int, t: Template, need: float) -> list[tuple[int, int, str, float]]:
-        """Notices in one region; a long region is aligned in overlapping stretches of twice the template."""
-        out, size, at = [], 2 * len(t.words), lo
+    def _region(self, w: list[str], lo: int, hi: int, t: Template, need: float, times: int = 2) -> list[tuple[int, int, str, float]]:
+        """Notices in one region; a long region is aligned in overlapping stretches of twice the template.
+
+        What is left between notices is aligned again in longer stretches, up to all that interruptions allow.
+        """
+        out, rest, size, at, free = [], [], times * len(t.words), lo, lo
         while at < hi:
             stop = min(hi, at + size)
             got = patience(w[at:stop], t.words)
             if len(got) >= need:
                 start, end = at + got[0][0], at + got[-1][0] + 1
                 out.append((start, end, t.name, len(got) / len(t.words)))
-                at = end
+                rest.append((free, start))
+                at = free = end
             elif stop == hi:
                 break
             else:
                 at += len(t.words) // 2 or 1
+        if times <= self.interruption + 1:
+            for i, j in [*rest, (free, hi)]:
+                if j - i > size:
+                    out += self._region(w, i, j, t, need, 2 * times)
         return out
 
 

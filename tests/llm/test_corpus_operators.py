@@ -126,6 +126,14 @@ def test_licenses(spark, none):
     assert licenses.find_licenses(none).count() == 0
 
 
+def test_licenses_with_inserted_clauses():
+    finder = licenses.Finder(licenses.TEMPLATES)
+    got = finder.find("It is Licensed under the Apache as all of us call it License, which we have in its Version 2.0. Then more.")
+    assert [(s, e, n, c) for s, e, n, c in got if n == "Apache-2.0"] == [(2, 21, "Apache-2.0", 1.0)]
+    wide = " then five other words follow ".join(licenses.TEMPLATES["MIT-grant"].replace(",", "").split())
+    assert [n for _, _, n, _ in finder.find(f"{wide} end {licenses.TEMPLATES['MIT-grant']}") if n == "MIT-grant"] == ["MIT-grant"] * 2
+
+
 # op3
 
 
