@@ -52,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame that ``cut`` gave and that nothing reads any more."""
+    file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def table_dir(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a dataset folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
