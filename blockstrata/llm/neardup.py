@@ -11,7 +11,8 @@ Sets that are equal count once. Under each key the members are compared with one
 the member with most copies, so a bucket costs as many comparisons as it has members.
 Links are confirmed on the full sets, components are found by alternating stars.
 Where members of a bucket are still in different components, what lies between the
-components is compared too, so no link between members of a bucket is lost.
+components is compared by the full sets too, so no link between members of a bucket
+is lost.
 
 Defined results: text without words, empty or null, has no shingles and stands alone;
 rows that repeat a document id count as one document with the links of all of them;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from blockstrata.llm.bpe import Memory
 from blockstrata.llm.common import arrow_batches, id_text, only_ids, ship, utf8
-from blockstrata.runtime import cut
+from blockstrata.runtime import cut, release
 
 SHINGLE = 4
 CHUNKS, CHUNK = 10, 5
@@ -185,7 +186,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        before, e = e, cut(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        release(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
@@ -201,9 +203,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     able = prints.filter("n_shingles > 0 and doc_id is not null")
     reps = able.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     reps = cut(reps)
-    keys = reps.select("rep", "copies", F.posexplode("keys").alias("at", "key"))
+    keys = reps.select("rep", "copies", F.explode("keys").alias("key"))
     hubs = keys.groupBy("key").agg(F.max(F.struct("copies", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(keys.join(hubs.select("key", (-F.col("top.minus")).alias("hub")), "key").select("key", "at", "rep", "hub"))
+    members = cut(keys.join(hubs.select("key", (-F.col("top.minus")).alias("hub")), "key").select("key", "rep", "hub"))
 
     tried = cut(members.filter("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
     sets = candidate_sets(tried, texts, shingle)
@@ -212,10 +214,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = cut(confirm(tried, sets, percent).union(repeated))
     roots = components(links)
 
-    rest = cut(between(members, roots, sets, percent).join(tried, ["a", "b"], "left_anti"))
-    more = cut(confirm(rest, sets, percent))
+    more = cut(between(members, roots, sets, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
+    for done in (members, tried, sets, more):
+        release(done)
 
     to_rep = prints.join(reps.select(*same, "rep"), same, "left")
     out = to_rep.join(roots, F.col("rep") == F.col("id"), "left")
@@ -223,72 +226,92 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-#: Positions of the longer signature that only members of open buckets get, and members compared at once.
-LONG, BLOCK = 600, 512
-
-
-def furthest(percent: int, k: int = CHUNKS * CHUNK + LONG) -> int:
-    """The signature distance that a linked pair passes once in some millions: 5.2 deviations over its mean."""
-    p = 1 - percent / 100
-    return int(k * p + 5.2 * (k * p * (1 - p)) ** 0.5) + 1
-
-
-def long_signatures(sets: DataFrame) -> DataFrame:
-    """id and its signature: the positions of the index, 16 bits each, and LONG further ones of 8 bits."""
-    ship(sets.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                if part.num_rows:
-                    own = [np.asarray(g, dtype=np.int64).view(np.uint64) for g in part.column(1).to_pylist()]
-                    short, more = signatures(own).astype("<u2"), signatures(own, LONG, seed=12).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() + y.tobytes() for x, y in zip(short, more, strict=True)], pa.binary())], names=["id", "sig"])
-
-    return sets.mapInArrow(run, "id long, sig binary")
+#: Documents and shingles on one side of a comparison of groups, about.
+BLOCK, BLOCK_GRAMS = 8192, 3 << 20
 
 
 def between(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a key and are near by their long signatures, but not yet in one component.
+    """Links (a, b) between components that still meet in a bucket, one at least for any two that have any.
 
-    Large buckets are compared in pairs of blocks of about BLOCK members. A pair is given
-    under its first common key only.
+    Buckets in which the same component has most members are put together, so a crowd of
+    near copies is compared once and not under each of its keys. What lies outside of that
+    component is compared with all members by the full sets, in blocks of bounded size.
     """
-    known = members.join(roots, F.col("rep") == F.col("id"), "left").select("key", "at", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    blocks = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = cut(known.join(blocks, "key"))
-    sigs = long_signatures(sets.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = open_.join(sigs, F.col("rep") == F.col("id")).select("key", "at", "rep", "root", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", "at", "rep", "root", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    far, width = furthest(percent), CHUNKS * CHUNK
-
-    def pairs(table: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
-        rep, root, own = (table.column(c).to_numpy() for c in ("rep", "root", "own"))
-        here, i, j = table.column("at")[0].as_py(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        raw = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
-        short, more = np.ascontiguousarray(raw[:, : 2 * width]).view("<u2"), raw[:, 2 * width :]
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        for at in range(0, len(left), 32):
-            x = left[at : at + 32]
-            off = short[x][:, None, :] != short[right][None, :, :]
-            apart = off.sum(axis=2) + (more[x][:, None, :] != more[right][None, :, :]).sum(axis=2)
-            wrong = off.reshape(len(x), len(right), CHUNKS, CHUNK)
-            ok = wrong.sum(axis=3) <= 1
-            first = ok.argmax(axis=2)
-            place = np.take_along_axis(wrong, first[:, :, None, None], axis=2)[:, :, 0].argmax(axis=2)
-            # keys of equal chunks and of one wrong position: the first is the one of that position, or of none
-            hit = (apart <= far) & (root[x][:, None] != root[right][None, :]) & (first * CHUNK + place == here)
-            if i == j:
-                hit &= rep[x][:, None] < rep[right][None, :]
-            p, q = np.nonzero(hit)
-            out_a.append(np.maximum(rep[x[p]], rep[right[q]]))
-            out_b.append(np.minimum(rep[x[p]], rep[right[q]]))
-        cat = [np.concatenate(v) if v else np.empty(0, np.int64) for v in (out_a, out_b)]
-        return pa.table({"a": pa.array(cat[0], pa.int64()), "b": pa.array(cat[1], pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+    ship(members.sparkSession)
+    known = members.join(roots, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    parts = known.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    groups = cut(known.join(main.select("key", (-F.col("top.minus")).alias("main")), "key").groupBy("main", "rep").agg(F.first("root").alias("root")))
+    sized = groups.join(sets.select(F.col("id").alias("rep"), F.size("grams").alias("grams")), "rep")
+    blocks = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, F.col("grams")).otherwise(0)) / BLOCK_GRAMS)).cast("int")
+    sizes = sized.groupBy("main").agg(blocks(F.col("root") != F.col("main")).alias("outer"), blocks(F.lit(True)).alias("all"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = groups.join(sizes, "main")
+    left = dealt.filter("root <> main").withColumn("i", own("outer")).select("main", "rep", "root", "i", every("all").alias("j"), F.lit(True).alias("outside"))
+    right = dealt.withColumn("j", own("all")).select("main", "rep", "root", every("outer").alias("i"), "j", F.lit(False).alias("outside"))
+    rows = left.unionByName(right).join(sets.withColumnRenamed("id", "rep"), "rep")
+
+    def links(table: pa.Table) -> pa.Table:
+        one = np.array(table.column("outside").to_pylist(), dtype=bool)
+        grams = table.column("grams").combine_chunks()
+        if isinstance(grams, pa.ChunkedArray):
+            grams = pa.concat_arrays(grams.chunks)
+        ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
+        rep, root = table.column("rep").to_numpy(), table.column("root").to_numpy()
+        side = [[(flat[ends[k] : ends[k + 1]]) for k in np.flatnonzero(x)] for x in (one, ~one)]
+        found: dict = {}
+        for at in range(0, len(side[0]), 256):
+            n = [np.array([len(s) for s in x], dtype=np.int64) for x in (side[0][at : at + 256], side[1])]
+            both = shared_counts(side[0][at : at + 256], side[1])
+            ids = [(rep[one][at : at + 256], root[one][at : at + 256]), (rep[~one], root[~one])]
+            ok = (100 * both >= percent * (n[0][:, None] + n[1][None, :] - both)) & (ids[0][1][:, None] != ids[1][1][None, :])
+            for p, q in zip(*np.nonzero(ok), strict=True):
+                found.setdefault((ids[0][1][p], ids[1][1][q]), (ids[0][0][p], ids[1][0][q]))
+        return pa.table({c: pa.array([v[k] for v in found.values()], pa.int64()) for k, c in enumerate("ab")})
+
+    return rows.groupBy("main", "i", "j").applyInArrow(links, "a long, b long").distinct()
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``.
+
+    Elements that many sets hold are counted by a product of 0/1 matrices, the others by their pairs of holders.
+    """
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)]
+    common = np.intersect1d(*flat)
+    if not len(common):
+        return out
+    col, row = [], []
+    for sets, v in zip((left, right), flat, strict=True):
+        at = np.minimum(np.searchsorted(common, v), len(common) - 1)
+        use = common[at] == v
+        col.append(at[use])
+        row.append(np.repeat(np.arange(len(sets)), [len(s) for s in sets])[use])
+    held = [np.bincount(c, minlength=len(common)) for c in col]
+    work = held[0] * held[1]
+    thick = work > max(out.size >> 5, 64)
+    place = np.cumsum(thick) - 1
+    for lo in range(0, int(thick.sum()), 1024):
+        grid = []
+        for sets, c, r in zip((left, right), col, row, strict=True):
+            use = thick[c] & (place[c] >= lo) & (place[c] < lo + 1024)
+            g = np.zeros((len(sets), 1024), dtype=np.float32)
+            g[r[use], place[c[use]] - lo] = 1
+            grid.append(g)
+        out += (grid[0] @ grid[1].T).astype(np.int64)
+    order = np.argsort(col[1], kind="stable")
+    start = np.searchsorted(col[1][order], np.arange(len(common)))
+    thin = np.flatnonzero(~thick[col[0]])
+    n = held[1][col[0][thin]]
+    steps = np.cumsum(n)
+    at = 0
+    while at < len(thin):
+        stop = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + most, side="right")))
+        k, m = thin[at:stop], n[at:stop]
+        nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        pair = np.repeat(row[0][k], m) * len(right) + row[1][order[np.repeat(start[col[0][k]], m) + nth]]
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+        at = stop
+    return out
