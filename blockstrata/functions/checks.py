@@ -32,9 +32,9 @@ def is_data_block(pbn: Column, first: int, last: int, shift: int, data_blocks: i
     return (pbn == C.ZERO_PBN) | ((pbn >= first) & (pbn < last) & ((pbn - first).bitwiseAND(F.lit((1 << shift) - 1)) < data_blocks))
 
 
-def valid_journal_entry(slot: Column, page_pbn: Column, op: Column, pbn: Column, state: Column, last: int) -> Column:
-    """Slot and page in range and a valid mapping; tree increments are neither compressed nor zero."""
-    base = (slot >= 0) & (slot < C.ENTRIES_PER_PAGE) & (page_pbn > 0) & (page_pbn < last) & valid_location(pbn, state)
+def valid_journal_entry(slot: Column, page_pbn: Column, op: Column, pbn: Column, state: Column, last: int, is_data: Column) -> Column:
+    """Slot and page in range and a valid mapping to a data block; tree increments are neither compressed nor zero."""
+    base = (slot >= 0) & (slot < C.ENTRIES_PER_PAGE) & (page_pbn >= 0) & (page_pbn < last) & valid_location(pbn, state) & is_data
     return base & ((op != "block_map_increment") | ((pbn != C.ZERO_PBN) & (state <= 1)))
 
 
@@ -59,6 +59,11 @@ def may_compress(allocated: Column, fua: Column, enabled: Column, locked: Column
     return allocated & ~fua & enabled & locked & (discard_blocks <= 1)
 
 
+def may_pack(size: Column, enabled: Column, canceled: Column) -> Column:
+    """Whether a block may go to the packer: it compresses enough, compression is on and not cancelled for it."""
+    return compressible(size) & enabled & ~canceled
+
+
 def is_sparse(vcn: Column, oldest: Column, newest: Column, dense: int, chapters: int) -> Column:
     """A chapter beyond the dense part of the window."""
     return F.lit(dense < chapters) & (newest - oldest + 1 > dense) & (vcn + dense <= newest)
@@ -68,8 +73,19 @@ def expired(vcn: Column, newest: Column, chapters: int) -> Column:
     return vcn + chapters <= newest
 
 
-def skip_sparse(dead: Column, vcn: Column, oldest: Column, misses: Column, limit: int = 20_000) -> Column:
-    return dead | (vcn < oldest) | (misses >= limit)
+def chapters_to_expire(newest: Column, chapters: int, remapped_virtual: int = 0, remapped_physical: int = 0) -> Column:
+    """Chapters that expire when ``newest`` opens: one, but two or none around a moved chapter."""
+    oldest = newest - chapters
+    moved = F.lit(remapped_physical > 0)
+    around = F.when(moved & (oldest == remapped_virtual), 2).when(moved & (oldest == remapped_virtual + remapped_physical), 0).otherwise(1)
+    return F.when(newest < chapters, 0).otherwise(around)
+
+
+def skip_sparse(dead: Column, vcn: Column, oldest: Column, misses: Column, hook_chapter: Column | None = None, limit: int = 20_000) -> Column:
+    """Whether a search passes a cached chapter by: unused or expired; not the one a hook was found in, or without a hook one of too many misses."""
+    tired = misses >= limit
+    other = tired if hook_chapter is None else F.when(hook_chapter.isNotNull(), vcn != hook_chapter).otherwise(tired)
+    return dead | (vcn < oldest) | other
 
 
 def page_validity(magic: Column, nonce: Column, pbn: Column, own_nonce: int, own_pbn: Column, own_magic: int = 1) -> Column:

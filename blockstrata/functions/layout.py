@@ -28,9 +28,10 @@ def hash_zone(name: Column, zones: int) -> Column:
 
 
 def index_key(name: Column, lists: int = 256, address_bits: int = 20) -> tuple[Column, Column]:
-    """Delta list and address of a name in the volume index, from its first four bytes."""
-    h = hex_slice(name, 0, 4)
-    return h % lists, div(h, lists) % (1 << address_bits)
+    """Delta list and address of a name in the volume index: the address is the low bits of its first eight bytes, the list the rest."""
+    low = hex_slice(name, 4, 4)
+    rest = F.shiftleft(hex_slice(name, 0, 4), 32 - address_bits).bitwiseOR(F.shiftright(low, address_bits))
+    return rest % lists, low.bitwiseAND(F.lit((1 << address_bits) - 1))
 
 
 def chapter_key(name: Column, list_bits: int, address_bits: int) -> tuple[Column, Column]:
@@ -83,9 +84,17 @@ def slab_of(pbn: Column, first: int, shift: int) -> tuple[Column, Column]:
 
 
 def physical_chapter(vcn: Column, chapters: int, remapped_virtual: int = 0, remapped_physical: int = 0) -> Column:
-    """Where a virtual chapter is stored; one chapter may have been moved when the volume was converted."""
-    moved = F.when(vcn == remapped_virtual, F.lit(remapped_physical)).when(vcn < remapped_physical + remapped_virtual, vcn % chapters) if remapped_virtual else None
-    return moved.otherwise(vcn % chapters) if moved is not None else vcn % chapters
+    """Where a virtual chapter is stored.
+
+    A converted volume has lost one chapter, so it has an odd number of them; the moved
+    chapter lies at ``remapped_physical`` and the others run on around it.
+    """
+    if chapters % 2 == 0:
+        return vcn % chapters
+    past, back = vcn - remapped_virtual, remapped_virtual - vcn
+    after = F.when(past > remapped_physical, past % chapters).otherwise(past - 1)
+    before = F.when(back < chapters, chapters - back).otherwise(F.lit(0).cast("long"))
+    return F.when(past > 0, after).when(past == 0, F.lit(remapped_physical).cast("long")).otherwise(before)
 
 
 def state_of_slot(slot: Column) -> Column:
@@ -118,6 +127,43 @@ def unpack_journal_entry(entry: Column) -> tuple[Column, Column, Column]:
     return entry.bitwiseAND(F.lit(3)), F.shiftright(entry, 2).bitwiseAND(F.lit(1023)), F.shiftright(entry, 12)
 
 
+def _byte(x: Column) -> Column:
+    return F.lpad(F.hex(x.cast("long")), 2, "0")
+
+
+def _little(x: Column, n: int) -> Column:
+    """The low ``n`` bytes of a number, the lowest first, in hexadecimal."""
+    return F.concat(*[_byte(F.shiftright(x.cast("long"), 8 * k).bitwiseAND(F.lit(255))) for k in range(n)])
+
+
+def _of_little(text: Column, byte: int, n: int) -> Column:
+    """A number of ``n`` bytes (7 at most) stored from ``byte`` on, the lowest first."""
+    return F.conv(F.concat(*[F.substring(text, 2 * (byte + k) + 1, 2) for k in reversed(range(n))]), 16, 10).cast("long")
+
+
+def entry_bytes(pbn: Column, state: Column) -> Column:
+    """A block map entry as stored: 5 bytes, in hexadecimal. State and the high bits of the block share the first."""
+    return F.concat(_byte(state.bitwiseOR(F.shiftleft(F.shiftright(pbn.cast("long"), 32).bitwiseAND(F.lit(15)), 4))), _little(pbn, 4))
+
+
+def read_entry_bytes(text: Column, byte: int = 0) -> tuple[Column, Column]:
+    """Block and state of a stored block map entry that begins at ``byte``."""
+    first = hex_slice(text, byte, 1)
+    return F.shiftleft(F.shiftright(first, 4), 32).bitwiseOR(_of_little(text, byte + 1, 4)), first.bitwiseAND(F.lit(15))
+
+
+def journal_entry_bytes(op: Column, slot: Column, page_pbn: Column, pbn: Column, state: Column) -> Column:
+    """A recovery journal entry as stored: 6 bytes of operation, slot and page, then the 5 of the mapping, in hexadecimal."""
+    return F.concat(_little(pack_journal_entry(op, slot, F.lit(0)).bitwiseOR(F.shiftleft(F.shiftright(page_pbn.cast("long"), 32).bitwiseAND(F.lit(15)), 12)), 2), _little(page_pbn, 4), entry_bytes(pbn, state))
+
+
+def read_journal_entry_bytes(text: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """Operation, slot, page, block and state of a stored recovery journal entry."""
+    head = _of_little(text, 0, 2)
+    page = F.shiftleft(F.shiftright(head, 12), 32).bitwiseOR(_of_little(text, 2, 4))
+    return head.bitwiseAND(F.lit(3)), F.shiftright(head, 2).bitwiseAND(F.lit(1023)), page, *read_entry_bytes(text, 6)
+
+
 def pack_slab_entry(sbn: Column, increment: Column) -> Column:
     """A slab journal entry: 23 bits of offset, 1 of direction."""
     return F.shiftleft(increment.cast("int"), 23).bitwiseOR(sbn.cast("int"))
@@ -127,6 +173,20 @@ def unpack_slab_entry(entry: Column) -> tuple[Column, Column]:
     return entry.bitwiseAND(F.lit((1 << 23) - 1)), F.shiftright(entry, 23) == 1
 
 
+def slab_entry_op(increment: Column, typed: Column, types: Column, n: Column) -> Column:
+    """The operation of slab journal entry ``n``: in a block with types (an array of bytes), a set bit marks a block map increment."""
+    own = F.get(types, div(n, 8).cast("int")).cast("long")
+    power = F.pow(F.lit(2), n % 8).cast("long")
+    marked = F.coalesce(own.bitwiseAND(power) != 0, F.lit(False))
+    return F.when(typed & marked, "block_map_increment").when(increment, "data_increment").otherwise("data_decrement")
+
+
+def next_point(seq: Column, entry: Column, per_block: int) -> tuple[Column, Column]:
+    """The journal point one entry further."""
+    full = entry + 1 == per_block
+    return F.when(full, seq + 1).otherwise(seq), F.when(full, F.lit(0).cast("long")).otherwise(entry + 1)
+
+
 def pack_point(seq: Column, entry: Column) -> Column:
     return F.shiftleft(seq.cast("long"), 16).bitwiseOR(entry.cast("long"))
 
@@ -141,6 +201,21 @@ def code_bits(gap: Column, mean_delta: int) -> Column:
     return F.when(gap < keys, F.lit(low).cast("long")).otherwise(low + 1 + div(gap - keys, step))
 
 
+def delta_code(gap: Column, mean_delta: int) -> Column:
+    """The code of a gap as a string of bits, the lowest first: a fixed field, and for wide gaps zeros closed by a one."""
+    low, keys, step = C.coding_constants(mean_delta)
+    field = lambda x: F.reverse(F.lpad(F.bin(x), low, "0"))
+    wide = gap - keys
+    return F.when(gap < keys, field(gap)).otherwise(F.concat(field(wide % step + keys), F.repeat(F.lit("0"), div(wide, step).cast("int")), F.lit("1")))
+
+
+def read_delta_code(code: Column, mean_delta: int) -> Column:
+    """The gap of a code."""
+    low, keys, step = C.coding_constants(mean_delta)
+    value = F.conv(F.reverse(F.substring(code, 1, low)), 2, 10).cast("long")
+    return F.when(value < keys, value).otherwise(value + (F.length(code) - low - 1) * step)
+
+
 def reference_status(count: Column) -> Column:
     return F.when(count == 0, "free").when(count == 1, "single").when(count == C.PROVISIONAL, "provisional").otherwise("shared")
 
@@ -178,6 +253,11 @@ def forest_levels(entries: Column, roots: int = C.ROOTS) -> list[Column]:
     return out
 
 
-def advice(version: Column, state: Column, pbn: Column) -> Column:
-    """Stored advice: where content of a name was last written."""
-    return F.struct(version.cast("int").alias("version"), state.cast("int").alias("state"), pbn.cast("long").alias("pbn"))
+def advice_bytes(state: Column, pbn: Column, version: int = 2) -> Column:
+    """Stored advice, where content of a name was last written: a version, a state and 8 bytes of block, in hexadecimal."""
+    return F.concat(_byte(F.lit(version)), _byte(state), _little(pbn, 8))
+
+
+def read_advice(text: Column) -> tuple[Column, Column, Column]:
+    """Version, state and block of stored advice; blocks have 36 bits."""
+    return hex_slice(text, 0, 1), hex_slice(text, 1, 1), _of_little(text, 2, 7)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockstrata.functions.layout import block_name
@@ -11,20 +11,23 @@ from blockstrata.functions.layout import block_name
 REQUESTS = {"signup": "POST", "purchase": "UPDATE", "error": "DELETE", "view": "QUERY", "click": "QUERY_NO_UPDATE"}
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """A text cut in one pass, so long texts cost in proportion and no row carries more than its piece."""
+    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+
+
 def text_blocks(docs: DataFrame, size: int = 64) -> DataFrame:
     """doc_id, n, blk, name: fixed-size slices of each text; an empty text is one empty block."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    last = F.call_function("div", F.greatest(F.length(text), F.lit(1)) - 1, F.lit(size)).cast("int")
-    rows = docs.select("doc_id", text.alias("text"), F.explode(F.sequence(F.lit(0), last)).alias("n"))
-    return rows.select("doc_id", "n", F.substring(F.col("text"), F.col("n") * size + 1, F.lit(size)).alias("blk")).withColumn("name", block_name(F.col("blk")))
+    rows = docs.select("doc_id", F.posexplode(_pieces(text, size)).alias("n", "blk"))
+    return rows.withColumn("name", block_name(F.col("blk")))
 
 
 def byte_blocks(docs: DataFrame, size: int = 4096) -> DataFrame:
     """doc_id, n, data: UTF-8 bytes in blocks of ``size``, the last one padded with zeros."""
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    last = F.call_function("div", F.greatest(F.length(raw), F.lit(1)) - 1, F.lit(size)).cast("int")
-    rows = docs.select("doc_id", raw.alias("raw"), F.explode(F.sequence(F.lit(0), last)).alias("n"))
-    return rows.select("doc_id", "n", F.rpad(F.substring(F.col("raw"), F.col("n") * size + 1, F.lit(size)), size, F.unhex(F.lit("00"))).alias("data"))
+    letters = F.decode(F.coalesce(F.col("text"), F.lit("")).cast("binary"), "ISO-8859-1")  # a character a byte
+    rows = docs.select("doc_id", F.posexplode(_pieces(letters, size)).alias("n", "piece"))
+    return rows.select("doc_id", "n", F.rpad(F.encode("piece", "ISO-8859-1"), size, F.unhex(F.lit("00"))).alias("data"))
 
 
 def write_stream(requests: DataFrame, size: int = 4096) -> DataFrame:
