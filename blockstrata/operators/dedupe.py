@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from blockstrata import config as C
 from blockstrata.operators.ordering import ranks
@@ -73,9 +72,8 @@ def outcomes(blocks: DataFrame, index: DataFrame, stored: DataFrame, order: list
     differs. Later ones are dups of the first, collisions if they differ from it, and
     rollovers where a copy runs out of references.
     """
-    w = Window.partitionBy("name").orderBy(*order)
-    n = F.row_number().over(w)
-    own = blocks.withColumns({"nth": n, "lead": F.first("data").over(w)})
+    lead = blocks.groupBy("name").agg(F.min_by("data", F.struct(*order)).alias("lead"))
+    own = ranks(blocks, "name", order, "nth").join(lead, "name")
     seen = verify(candidates(own, index), stored)
-    later = F.when(F.col("data") != F.col("lead"), "collision").when((F.col("nth") - 1) % limit == 0, "rollover").otherwise("dup")
-    return seen.withColumn("outcome", F.when(F.col("nth") == 1, F.col("outcome")).otherwise(later)).drop("nth", "lead", "stored")
+    later = F.when(F.col("data") != F.col("lead"), "collision").when(F.col("nth") % limit == 0, "rollover").otherwise("dup")
+    return seen.withColumn("outcome", F.when(F.col("nth") == 0, F.col("outcome")).otherwise(later)).drop("nth", "lead", "stored")

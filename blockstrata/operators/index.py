@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from blockstrata.operators.ordering import running_count
+
 #: Requests that leave a key in the index, and those that take part in what it holds.
 WRITES = ("POST", "UPDATE")
 
@@ -92,11 +94,49 @@ def rebuild(records: DataFrame, newest: int, live: int, dense: int, hook) -> Dat
     return own.groupBy("name").agg(F.max("chapter").alias("chapter"))
 
 
+def volume_index(records: DataFrame) -> DataFrame:
+    """Entries of records (name, list, address, chapter): the first name under a key by its key alone, later ones with the full name."""
+    first = records.groupBy("list", "address").agg(F.min("name").alias("lead"))
+    own = records.join(first, ["list", "address"])
+    return own.select("list", "address", "chapter", F.when(F.col("name") != F.col("lead"), F.col("name")).alias("full"))
+
+
 def probe(index: DataFrame, names: DataFrame) -> DataFrame:
-    """Names with the chapter where a truncated key says they may be, checked against the full name."""
-    hit = index.select("list", "address", F.col("name").alias("held"), "chapter")
-    out = names.join(hit, ["list", "address"], "left")
-    return out.withColumn("found", F.coalesce(F.col("held") == F.col("name"), F.lit(False)))
+    """Names (name, list, address) with the chapter where the volume index says they may be.
+
+    An entry with the full name is certain; without one the entry of the key alone is a
+    hint, which a chapter must confirm.
+    """
+    exact = index.filter("full is not null").select("list", "address", F.col("full").alias("name"), F.col("chapter").alias("certain"))
+    hint = index.filter("full is null").select("list", "address", F.col("chapter").alias("hint"))
+    out = names.join(exact, ["list", "address", "name"], "left").join(hint, ["list", "address"], "left")
+    return out.select(*names.columns, F.coalesce("certain", "hint").alias("chapter"), F.col("certain").isNotNull().alias("is_collision"))
+
+
+def lookup(names: DataFrame, index: DataFrame, open_records: DataFrame, chapter_records: DataFrame, newest) -> DataFrame:
+    """Where each name (name, list, address) is found: open, volume or none, after a probe of the volume index.
+
+    A hint at the newest chapter is looked up among the open records, any other in the
+    records of that chapter (chapter, name), whose folders alone a scan would open.
+    """
+    hit = probe(index, names)
+    in_open = open_records.select("name", F.lit(True).alias("in_open")).distinct()
+    in_volume = chapter_records.select("chapter", "name", F.lit(True).alias("in_volume")).distinct()
+    out = hit.join(in_open, "name", "left").join(in_volume, ["chapter", "name"], "left")
+    here = F.col("chapter") == newest
+    place = F.when(here & F.col("in_open"), "open").when(~here & F.col("in_volume"), "volume").otherwise("none")
+    return out.select(*names.columns, "chapter", "is_collision", place.alias("location"))
+
+
+def cache_epochs(requests: DataFrame) -> DataFrame:
+    """Epoch of each request (seq, chapter): how often the sparse cache had changed for all zones before it.
+
+    A request that names a chapter not cached before (``chapter``, null for none) changes the
+    membership; every zone sees the change between it and the next request.
+    """
+    first = requests.filter("chapter is not null").groupBy("chapter").agg(F.min("seq").alias("seq")).select("seq", F.lit(1).alias("_new"))
+    own = requests.join(first, "seq", "left").withColumn("_all", F.lit(0))
+    return running_count(own, "_all", "seq", F.col("_new").isNotNull(), "epoch").drop("_new", "_all")
 
 
 def recent_search(names: DataFrame, cached: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockstrata import config as C
+from blockstrata.functions.checks import congruent_block
+from blockstrata.operators.ordering import ranks
 
 
 def transitions(writes: DataFrame) -> DataFrame:
@@ -58,11 +60,48 @@ def missing_decrements(entries_: DataFrame, block_map: DataFrame) -> DataFrame:
     The target is the second latest increment's mapping, or the stored one where only one increment is left.
     ``entries_`` has lbn, pbn, point and delta; an increment precedes its decrement.
     """
-    ups = F.filter(F.array_sort(F.collect_list(F.struct("point", (-F.col("delta")).alias("down"), "pbn"))), lambda e: e["down"] < 0)
-    # a slot's entries: bounded by what the journal holds for one slot
-    own = entries_.groupBy("lbn").agg(ups.alias("ups"), F.max(F.struct("point", (-F.col("delta")).alias("down"))).alias("last"))
-    open_ = own.filter("last.down < 0")
-    return open_.join(block_map.select("lbn", F.col("pbn").alias("stored")), "lbn", "left").select("lbn", F.when(F.size("ups") > 1, F.element_at("ups", -2)["pbn"]).otherwise(F.col("stored")).alias("target")).filter("target is not null")
+    last = entries_.groupBy("lbn").agg(F.max(F.struct("point", (-F.col("delta")).alias("down"))).alias("last"))
+    nth = F.row_number().over(Window.partitionBy("lbn").orderBy(F.desc("point"), F.desc("pbn")))
+    two = entries_.filter("delta > 0").select("lbn", "point", "pbn").withColumn("nth", nth).filter("nth <= 2")  # ranked before the shuffle already
+    before = two.groupBy("lbn").agg(F.count("*").alias("ups"), F.max_by("pbn", "nth").alias("prior"))
+    open_ = last.filter("last.down < 0").join(before, "lbn").join(block_map.select("lbn", F.col("pbn").alias("stored")), "lbn", "left")
+    return open_.select("lbn", F.when(F.col("ups") > 1, F.col("prior")).otherwise(F.col("stored")).alias("target")).filter("target is not null")
+
+
+def load(blocks: DataFrame, nonce: int, kind: int, size: int) -> DataFrame:
+    """The blocks of a circular journal (seq, nonce, kind, place) that were written where they stand, by this volume."""
+    return blocks.filter(congruent_block(F.col("seq"), F.col("nonce"), F.col("kind"), F.col("place"), nonce, kind, size))
+
+
+def appended(queued: DataFrame, batch: str, seq: str, number: str = "number") -> DataFrame:
+    """Number of each entry in the journal: waiting batches in turn, in each its decrements before its increments, then by arrival."""
+    order = queued.withColumn("_up", F.when(F.col("delta") > 0, 1).otherwise(0)).withColumn("_all", F.lit(0))
+    return ranks(order, "_all", [batch, "_up", seq], number).drop("_up", "_all")
+
+
+def commits(entries_: DataFrame, number: str = "number") -> DataFrame:
+    """Entries of each journal block, and whether it is committed because it is full or because the journal is idle."""
+    own = numbered(entries_, number).groupBy("block").agg(F.count("*").alias("entries"))
+    return own.withColumn("reason", F.when(F.col("entries") == C.JOURNAL_ENTRIES_PER_BLOCK, "full").otherwise("idle"))
+
+
+def lock_counters(references: DataFrame) -> DataFrame:
+    """References (lock, zone_type, zone, delta) that each zone still holds on each journal block."""
+    return references.groupBy("lock", "zone_type", "zone").agg(F.sum("delta").alias("held"))
+
+
+def locks(counters: DataFrame) -> DataFrame:
+    """seq and locks of each journal block: the zones that hold it, for ``reap_horizon``."""
+    return counters.groupBy(F.col("lock").alias("seq")).agg(F.count_if(F.col("held") > 0).alias("locks"))
+
+
+def scrub(slabs: DataFrame, counts: DataFrame, entries_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dirty slabs in the order of scrubbing (place from 0) with their new state, and the counts after their journals."""
+    dirty = slabs.filter(~F.col("is_clean"))
+    hint = dirty.withColumns({"_rank": -F.col("hint").cast("long"), "_all": F.lit(0)})
+    order = ranks(hint, "_all", ["_rank", "slab"], "place").select("slab", "place", F.lit("rebuilt").alias("state"))
+    own = entries_.join(dirty.select("slab"), "slab", "left_semi")
+    return order, replay_slab(counts, own)
 
 
 def replay_slab(counts: DataFrame, entries_: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blockstrata import config as C
 from blockstrata.functions import layout as L
 from blockstrata.functions.checks import valid_location
+from blockstrata.operators.refs import allocate
 
 
 def latest(journal: DataFrame, *keys: str, value: str = "pbn", point: str = "point") -> DataFrame:
@@ -32,9 +33,15 @@ def get(reads: DataFrame, block_map: DataFrame) -> DataFrame:
     return out.withColumn("outcome", kind)
 
 
+def fetch(mapped: DataFrame, physical: DataFrame) -> DataFrame:
+    """Rows with ``pbn`` and the data stored there, null where nothing is."""
+    return mapped.join(physical, "pbn", "left")
+
+
 def read_back(reads: DataFrame, block_map: DataFrame, physical: DataFrame, blank) -> DataFrame:
-    """Data of each read; what is unmapped or zero reads as ``blank``."""
-    return reads.join(block_map, "lbn", "left").join(physical, "pbn", "left").withColumn("data", F.coalesce("data", blank))
+    """Outcome and data of each read; what is unmapped or zero reads as ``blank``, an invalid mapping as null."""
+    out = fetch(get(reads, block_map), physical)
+    return out.withColumn("data", F.when(F.col("outcome").isin("unmapped", "zero"), blank).when(F.col("outcome") == "mapped", F.col("data")))
 
 
 def partial_write(old, new, at, length):
@@ -48,6 +55,18 @@ def forest(block_map: DataFrame, last_lbn: int, roots: int = C.ROOTS) -> DataFra
     return block_map.withColumns({"root": L.root_of(F.col("lbn"), roots), "kept": ok})
 
 
+def traverse(block_map: DataFrame, last_lbn: int, callback, schema: str, roots: int = C.ROOTS) -> DataFrame:
+    """Apply a function of pandas batches to every entry that a traversal keeps."""
+    return forest(block_map, last_lbn, roots).filter("kept").drop("kept").mapInPandas(callback, schema)
+
+
+def allocate_pages(lbns: DataFrame, have: DataFrame, base: int, roots: int = C.ROOTS) -> DataFrame:
+    """The tree pages (root, height, page) that writes need beyond those there, with a block each from ``base`` on, parents first."""
+    new = tree_pages(lbns, roots).join(have, ["root", "height", "page"], "left_anti")
+    place = F.struct((-F.col("height")).alias("down"), "root", "page")
+    return allocate(new.withColumn("place", place), base).select("root", "height", "page", "pbn")
+
+
 def tree_pages(lbns: DataFrame, roots: int = C.ROOTS) -> DataFrame:
     """Pages of each height that the blocks need."""
     path = L.tree_path(F.col("lbn"), roots)

@@ -6,47 +6,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from blockstrata import config as C
 
-def ranks(rows: DataFrame, key: str, order: list[str], name: str, buckets: int = 64) -> DataFrame:
+
+def ranges(rows: DataFrame, by: str, buckets: int = 64):
+    """A number that ascends with the column ``by`` and has about as many rows for each of its values."""
+    edges = rows.select(F.percentile_approx(by, [k / buckets for k in range(1, buckets)], 1000).alias("e")).first()[0] or []  # at most one number a bucket
+    bucket = F.lit(0)
+    for e in sorted(set(edges)):
+        bucket = bucket + F.when(F.col(by) > e, 1).otherwise(0)
+    return bucket
+
+
+def ranks(rows: DataFrame, key: str, order: list[str], name: str, buckets: int = 64, bucket=None) -> DataFrame:
     """Rows numbered from 0 within each key in the order of ``order``, whose first column is a number.
 
     A key's rows are ranked in ranges of that column and numbered on from the counts of
     the ranges before, so a key with a third of all rows is spread over ``buckets`` tasks.
+    The ranges come from a sketch of the column, or are given as ``bucket``, an expression
+    that ascends with the order.
     """
-    by = F.col(order[0])
-    edges = rows.select(F.percentile_approx(by, [k / buckets for k in range(1, buckets)], 1000).alias("e")).first()[0] or []  # at most one number a bucket
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + F.when(by > e, 1).otherwise(0)
-    own = rows.withColumn("_bucket", bucket)
+    own = rows.withColumn("_bucket", ranges(rows, order[0], buckets) if bucket is None else bucket)
     sizes = own.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select(key, "_bucket", (F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).alias("_before"))
     nth = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)) - 1
     return own.withColumn("_nth", nth).join(before, [key, "_bucket"]).withColumn(name, F.col("_before") + F.col("_nth")).drop("_bucket", "_before", "_nth")
 
 
+def running_count(rows: DataFrame, key: str, seq: str, flag, name: str, buckets: int = 64) -> DataFrame:
+    """Rows with the number of flagged rows before each in its key, by the number ``seq``; counted by ranges, as ``ranks``."""
+    own = rows.withColumns({"_bucket": ranges(rows, seq, buckets), "_flag": F.when(flag, 1).otherwise(0).cast("long")})
+    sums = own.groupBy(key, "_bucket").agg(F.sum("_flag").alias("_n"))
+    before = sums.select(key, "_bucket", (F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    w = Window.partitionBy(key, "_bucket").orderBy(seq)
+    return own.withColumn("_own", F.sum("_flag").over(w) - F.col("_flag")).join(before, [key, "_bucket"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_flag", "_own", "_before")
+
+
 def merge_adjacent(requests: DataFrame, place: str, *same: str, stretch: int = 1 << 16) -> DataFrame:
     """Runs of consecutive places among requests with equal ``same``: first, last and length.
 
     Runs are found in stretches of the address space. Only those that touch an end of
-    their stretch, two in each at most, are then joined with one another.
+    their stretch, two in each at most, are then joined with one another, first within
+    stretches of stretches, and what touches the ends of those at last.
     """
     own = requests.select(*same, F.col(place).alias("p")).distinct().withColumn("stretch", F.floor(F.col("p") / stretch).cast("long"))
     w = Window.partitionBy(*same, "stretch").orderBy("p")
     runs = own.withColumn("island", F.col("p") - F.row_number().over(w)).groupBy(*same, "stretch", "island").agg(F.min("p").alias("first"), F.max("p").alias("last"))
     at_end = (F.col("first") % stretch == 0) | ((F.col("last") + 1) % stretch == 0)
-    w2 = Window.partitionBy(*same).orderBy("first") if same else Window.orderBy("first")
-    ends = runs.filter(at_end)
-    starts = F.when(F.col("first") != F.coalesce(F.lag("last").over(w2) + 1, F.col("first") - 1), 1).otherwise(0)
-    joined = ends.withColumn("s", starts).withColumn("run", F.sum("s").over(w2)).groupBy(*same, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
-    out = runs.filter(~at_end).select(*same, "first", "last").unionByName(joined.select(*same, "first", "last"))
+    wide = stretch * stretch
+    near = _joined(runs.filter(at_end).withColumn("wide", F.floor(F.col("first") / wide).cast("long")), [*same, "wide"])
+    at_end_of_wide = (F.col("first") % wide == 0) | (F.floor((F.col("last") + 1) / wide) > F.col("wide"))
+    far = _joined(near.filter(at_end_of_wide).withColumn("all", F.lit(0)), [*same, "all"])
+    out = runs.filter(~at_end).select(*same, "first", "last")
+    for more in (near.filter(~at_end_of_wide), far):
+        out = out.unionByName(more.select(*same, "first", "last"))
     return out.withColumn("length", F.col("last") - F.col("first") + 1)
 
 
+def _joined(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of each group that follow one another without a gap, put together."""
+    w = Window.partitionBy(*keys).orderBy("first")
+    starts = F.when(F.col("first") != F.coalesce(F.lag("last").over(w) + 1, F.col("first") - 1), 1).otherwise(0)
+    return runs.withColumn("s", starts).withColumn("run", F.sum("s").over(w)).groupBy(*keys, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+
+
 def interleave(records: DataFrame, zone: str, arrival: str, zones: int) -> DataFrame:
     """Round-robin place of each record over its zones."""
-    n = F.row_number().over(Window.partitionBy(zone).orderBy(arrival)) - 1
-    return records.withColumn("place", n * zones + F.col(zone))
+    return ranks(records, zone, [arrival], "_n").withColumn("place", F.col("_n") * zones + F.col(zone)).drop("_n")
 
 
 def lru_rank(accesses: DataFrame, key: str, seq: str) -> DataFrame:
@@ -70,9 +96,10 @@ def byte_histogram(keys: DataFrame, name: str, at: int) -> DataFrame:
 
 
 def record_page(records: DataFrame, per_page: int) -> DataFrame:
-    """Records of each chapter in page order: sorted by name, so many to a page."""
-    n = F.row_number().over(Window.partitionBy("chapter").orderBy("name")) - 1
-    return records.withColumns({"page": F.call_function("div", n, F.lit(per_page)), "slot": n % per_page})
+    """Records of each chapter in page order: sorted by hexadecimal name, so many to a page."""
+    n = F.col("_n")
+    own = ranks(records, "chapter", ["name"], "_n", bucket=F.conv(F.substring("name", 1, 2), 16, 10).cast("int"))
+    return own.withColumns({"page": F.call_function("div", n, F.lit(per_page)), "slot": n % per_page}).drop("_n")
 
 
 def dequeue(queue: DataFrame, group: str, priority: str, seq: str) -> DataFrame:
@@ -98,8 +125,7 @@ def transfer(waiters: DataFrame, more: DataFrame, matching=None) -> tuple[DataFr
 
 def flush_generation(requests: DataFrame, group: str, seq: str, is_flush) -> DataFrame:
     """Generation of each request: flushes before it in its group."""
-    w = Window.partitionBy(group).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    return requests.withColumn("generation", F.coalesce(F.sum(F.when(is_flush, 1).otherwise(0)).over(w), F.lit(0)))
+    return running_count(requests, group, seq, is_flush, "generation")
 
 
 def oldest_active(generations: DataFrame) -> DataFrame:
@@ -107,9 +133,13 @@ def oldest_active(generations: DataFrame) -> DataFrame:
     return generations.filter("active").agg(F.min("generation").alias("oldest"))
 
 
-def admission(requests: DataFrame, seq: str, batch: int) -> DataFrame:
-    """Release batch of each request by its number of arrival."""
-    return requests.withColumn("batch", F.call_function("div", F.col(seq), F.lit(batch)))
+def admission(requests: DataFrame, seq: str, is_discard, limit: int = C.MAX_REQUESTS, discards: int = C.MAX_DISCARDS, batch: int = C.RELEASE_BATCH) -> DataFrame:
+    """Release batch that lets each request in, 0 for those let in at once: first come first served, for discards by their own limit too."""
+    wave = lambda n, most: F.greatest(F.lit(0).cast("long"), F.ceil((F.col(n) + 1 - most) / batch))
+    own = ranks(requests.withColumns({"_all": F.lit(0), "_discard": is_discard}), "_all", [seq], "_n")
+    own = ranks(own, "_discard", [seq], "_d")
+    late = F.when(F.col("_discard"), F.greatest(wave("_n", limit), wave("_d", discards))).otherwise(wave("_n", limit))
+    return own.withColumn("batch", late.cast("long")).drop("_all", "_discard", "_n", "_d")
 
 
 def late_answers(requests: DataFrame, group: str, ts: str, seconds: int) -> DataFrame:
@@ -121,8 +151,12 @@ def late_answers(requests: DataFrame, group: str, ts: str, seconds: int) -> Data
 
 def delta_gaps(keys: DataFrame, group: str, value: str) -> DataFrame:
     """Gap of each value to the one before it in its list; the first counts from 0."""
-    w = Window.partitionBy(group).orderBy(value)
-    return keys.withColumn("gap", F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0)))
+    own = keys.withColumn("_bucket", ranges(keys, value))
+    tops = own.groupBy(group, "_bucket").agg(F.max(value).alias("_top"))
+    before = tops.select(group, "_bucket", F.lag("_top").over(Window.partitionBy(group).orderBy("_bucket")).alias("_before"))  # a row a range
+    w = Window.partitionBy(group, "_bucket").orderBy(value)
+    prior = F.coalesce(F.lag(value).over(w), F.col("_before"), F.lit(0))
+    return own.join(before, [group, "_bucket"]).withColumn("gap", F.col(value) - prior).drop("_bucket", "_before")
 
 
 def by_page(entries: DataFrame, page: str, *order: str) -> DataFrame:

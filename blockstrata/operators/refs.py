@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from blockstrata import config as C
 from blockstrata.functions import layout as L
 from blockstrata.functions.checks import valid_location
+from blockstrata.operators.ordering import ranks
 from blockstrata.runtime import cut
 
 
@@ -46,8 +47,9 @@ def space(slabs: DataFrame, map_pages: int, physical_blocks: int) -> DataFrame:
 
 
 def recovery_order(slabs: DataFrame) -> DataFrame:
-    """Clean slabs first, then the emptiest, then the lowest number."""
-    return slabs.orderBy(F.col("is_clean").desc(), F.col("hint").desc(), "slab")
+    """Every slab with its place from 0: clean slabs first, then the emptiest, then the lowest number."""
+    rank = F.when(F.col("is_clean"), 0).otherwise(1 << 40) - F.col("hint").cast("long")
+    return ranks(slabs.withColumns({"_rank": rank, "_all": F.lit(0)}), "_all", ["_rank", "slab"], "place").drop("_rank", "_all")
 
 
 def best_slab(slabs: DataFrame, unopened_class: int) -> DataFrame:

@@ -36,12 +36,14 @@ def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "32m") -> N
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="blockstrata-checkpoint"))
     return sc.getCheckpointDir()
 
@@ -52,13 +54,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in any file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a frame that ``cut`` gave and that nothing reads any more."""
     file = df._jdf.logicalPlan().rdd().getCheckpointFile()
     if file.isDefined():
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(file.get())
-        path.getFileSystem(conf).delete(path, True)
+        remove(df.sparkSession, file.get())
 
 
 def table_dir(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
