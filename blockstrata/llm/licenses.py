@@ -1,18 +1,23 @@
 r"""License notices found by Patience alignment of texts with templates.
 
-A region of a text is aligned with a template by anchoring on the words that occur
+A stretch of a text is aligned with a template by anchoring on the words that occur
 once in each, keeping the longest increasing subsequence of those anchors, and aligning
-the gaps between them in the same way; equal words at both ends of a gap match first.
-The coverage is the share of the template's words that were matched.
-
-Regions are runs of words that the template also has, with short interruptions. A text
-that lacks too many of the template's words to reach the coverage is not aligned; that
-test is exact. Words are those of the decontamination operator (ASCII letters in lower
-case, digits, everything beyond ASCII).
+the gaps between them in the same way; equal words at both ends of a gap match first,
+and a gap without such words is aligned by a longest common subsequence. The coverage is
+the share of the template's words that were matched.
+
+A notice is a stretch of at most twice the template's words that reaches the coverage,
+whatever foreign words it holds; or of at most INTERRUPTION + 1 times as many, if no more
+than INTERRUPTION words in a row are strange to the template. Stretches too poor in the
+template's words, or whose longest common subsequence with it is too short, are not
+aligned; both tests are exact. The first stretch that reaches the coverage is narrowed
+or extended as long as that gains a matched word for less than two foreign ones, and the
+search goes on behind it. Words are those of the decontamination operator (ASCII letters
+in lower case, digits, everything beyond ASCII).
 
 Defined results: null and empty texts have no notices; whole texts are scanned however
-long; a notice that occurs twice is reported twice; repeated rows give repeated
-results; tables may be empty; extra columns are ignored.
+long; a notice that occurs twice is reported twice, side by side too; repeated rows give
+repeated results; tables may be empty; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,24 +27,15 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from blockstrata.llm.common import id_text, map_rows
+from blockstrata.llm.common import common_pairs, id_text, map_rows
 from blockstrata.llm.contamination import words
+from blockstrata.llm.license_texts import NOTICES, TEXTS
 
 #: Share of a template that must be matched.
 COVERAGE = 0.8
-#: Foreign words in a row that a region may hold.
+#: Foreign words in a row that a wide stretch may hold.
 INTERRUPTION = 6
-# Notices as their licenses word them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
-    "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
+TEMPLATES = NOTICES | TEXTS
 
 
 def rising(values: list[int]) -> list[int]:
@@ -77,6 +73,7 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         once = [(p, at[a[p]]) for p in range(i, j) if ca[a[p]] == 1 and a[p] in at]
         anchors = [once[x] for x in rising([q for _, q in once])]
         if not anchors:
+            out += [(i + p, k + q) for p, q in common_pairs(a[i:j], b[k:m])]
             continue
         out += anchors
         p0, q0 = i, k
@@ -88,11 +85,27 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Template:
-    """One template's words."""
+    """One template's words, and the growth of common subsequences with it."""
 
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words(text)
         self.count = Counter(self.words)
+        self.full = (1 << len(self.words)) - 1
+        self.where, self.back = ({}, {})
+        for j, x in enumerate(self.words):
+            self.where[x] = self.where.get(x, 0) | 1 << j
+            self.back[x] = self.back.get(x, 0) | 1 << len(self.words) - 1 - j
+
+    def growth(self, w: list[str], backwards: bool = False) -> list[int]:
+        """Length of the longest common subsequence of the template with each beginning of ``w`` (from its end, with each end)."""
+        where, row, full, out = self.back if backwards else self.where, self.full, self.full, []
+        n = len(self.words)
+        for x in reversed(w) if backwards else w:
+            hit = row & where.get(x, 0)
+            if hit:
+                row = (row + hit | row - hit) & full
+            out.append(n - row.bit_count())
+        return out
 
 
 class Finder:
@@ -111,44 +124,73 @@ class Finder:
         found: list[tuple[int, int, str, float]] = []
         for t in self.templates:
             need = self.coverage * len(t.words)
-            if sum(n for x, n in t.count.items() if x in have) >= need:
+            if sum(t.count[x] for x in t.count.keys() & have) >= need:
                 found += self._in(w, t, need)
         return sorted(found)
 
     def _in(self, w: list[str], t: Template, need: float) -> list[tuple[int, int, str, float]]:
         own = [i for i, x in enumerate(w) if x in t.count]
-        out, first = [], 0
-        for k in range(1, len(own) + 1):
-            if k == len(own) or own[k] - own[k - 1] > self.interruption + 1:
-                if k - first >= need:
-                    out += self._region(w, own[first], own[k - 1] + 1, t, need)
-                first = k
+        out = self._scan(w, own, t, need, 2 * len(t.words))
+        size = 4
+        while size < 2 * (self.interruption + 1):
+            taken = [(0, 0), *[(s, e) for s, e, *_ in sorted(out)], (len(w), len(w))]
+            for (_, lo), (hi, _) in zip(taken, taken[1:], strict=False):
+                first = bisect_left(own, lo)
+                inside = own[first : bisect_left(own, hi)]
+                cut = [0, *[k for k in range(1, len(inside)) if inside[k] - inside[k - 1] > self.interruption + 1], len(inside)]
+                for a, b in zip(cut, cut[1:], strict=False):
+                    out += self._scan(w, inside[a:b], t, need, min(size, self.interruption + 1) * len(t.words))
+            size *= 2
         return out
 
-    def _region(self, w: list[str], lo: int, hi: int, t: Template, need: float, times: int = 2) -> list[tuple[int, int, str, float]]:
-        """Notices in one region; a long region is aligned in overlapping stretches of twice the template.
-
-        What is left between notices is aligned again in longer stretches, up to all that interruptions allow.
-        """
-        out, rest, size, at, free = [], [], times * len(t.words), lo, lo
-        while at < hi:
-            stop = min(hi, at + size)
-            got = patience(w[at:stop], t.words)
-            if len(got) >= need:
-                start, end = at + got[0][0], at + got[-1][0] + 1
-                out.append((start, end, t.name, len(got) / len(t.words)))
-                rest.append((free, start))
-                at = free = end
-            elif stop == hi:
-                break
-            else:
-                at += len(t.words) // 2 or 1
-        if times <= self.interruption + 1:
-            for i, j in [*rest, (free, hi)]:
-                if j - i > size:
-                    out += self._region(w, i, j, t, need, 2 * times)
+    def _scan(self, w: list[str], own: list[int], t: Template, need: float, width: int) -> list[tuple[int, int, str, float]]:
+        """Notices of at most ``width`` words among the places ``own`` of the template's words, from left to right."""
+        least = -(-need // 1)
+        out, k, least = [], 0, int(least)
+        while k + least <= len(own):
+            s = own[k]
+            if own[k + least - 1] - s >= width:
+                k += 1
+                continue
+            last = bisect_left(own, s + width)
+            v = t.growth([w[i] for i in own[k:last]])[-1]
+            if v < least:  # so many more of the template's words must come in at the end
+                far = last + least - v - 1
+                if far >= len(own):
+                    break
+                k = max(k + 1, bisect_left(own, own[far] - width + 1))
+                continue
+            start, stop, got = self._narrow(w, own, t, k, least, width)
+            begin = bisect_left(own, start)
+            if begin > k:
+                out += self._scan(w, own[k:begin], t, need, width)
+            out.append((start, stop, t.name, got / len(t.words)))
+            k = bisect_left(own, stop)
         return out
 
+    def _narrow(self, w: list[str], own: list[int], t: Template, k: int, least: int, width: int) -> tuple[int, int, int]:
+        """The best stretch that begins at place ``k`` or behind, and the words that its alignment matches."""
+
+        def best(places: list[int], grown: list[int]) -> int:
+            """The place at which a stretch from the other end has most matches, less half of its foreign words."""
+            value = lambda i: 1.5 * grown[i] - 0.5 * abs(places[i] - places[0])
+            return max((i for i, v in enumerate(grown) if v >= least), key=lambda i: (value(i), -i))
+
+        for _ in range(16):
+            last = bisect_left(own, own[k] + width)
+            places = own[k:last]
+            end = k + best(places, t.growth([w[i] for i in places]))
+            places = own[k : end + 1][::-1]
+            begin = end - best(places, t.growth([w[i] for i in reversed(places)], backwards=True))
+            if begin == k:
+                break
+            k = begin
+        start, stop = own[k], own[end] + 1
+        got = len(patience(w[start:stop], t.words))
+        if got < least:  # anchors that mislead: the common subsequence alone reaches the coverage
+            got = t.growth(w[start:stop])[-1]
+        return start, stop, got
+
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, n_notices, licenses (names in order, comma-joined), spans (name:start:stop:per cent of coverage)."""
