@@ -1,13 +1,14 @@
 r"""Token ids in binary files, packed by an adaptive context-mixing range coder.
 
 A file holds segments, one for each row, in ascending document order: the ids of whole
-documents cut into blocks of BLOCK ids. Each block starts from a fresh model and has
-its own checksum, so blocks are coded and read side by side, one in each lane of the
-arrays below.
+documents cut into blocks of BLOCK ids. A segment's head names its ids, the most frequent
+first, how often each range of them comes, and the id that follows each context most
+often. Each block starts anew from what the head says and has its own checksum, so
+blocks are coded and read side by side, one in each lane of the arrays below.
 
 The model mixes three predictions of the next id. Order 2 and order 1 each give the id
 that their context was followed by lately, with a confidence; order 0 gives a
-distribution over all ids from adaptive counts of about 400 ranges of ids. The joint
+distribution over all ids from adaptive counts of up to 384 ranges of like frequency. The joint
 confidence of the two contexts picks a pair of adaptive weights: the mass on the order-2
 id, and the mass of the rest on the order-1 id. What is left goes to order 0. One
 interval of the mixture codes one id, in integer arithmetic alone, so that any machine
@@ -32,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockstrata.llm.bpe import Memory, split_text
-from blockstrata.llm.common import arrow_batches, id_text, ship, utf8
-from blockstrata.runtime import shared_dir
+from blockstrata.llm.common import arrow_batches, id_text, ship
+from blockstrata.llm.pieces import PieceMemory
+from blockstrata.runtime import cut, remove, shared_dir
 
 #: Ids in a block, ids in a segment at least, and bits of an id.
 BLOCK, SEGMENT, BITS = 2048, 1 << 21, 16
@@ -42,7 +43,8 @@ _TOTAL, _BASE = 24, 20  # bits of the mixture's and of order 0's interval
 _ROOM = 15 << 20  # of the mixture, for the two context predictions
 _ONE, _HALF = 1 << 10, 1 << 11  # slots of the order-1 and order-2 contexts
 _HIT = 24  # what a coded id adds to its range's count
-_MAGIC = b"BSTK0001"
+_PRIOR = 3072  # of all counts together, as a block begins
+_MAGIC = b"BSTK0002"
 
 
 def _ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,33 +57,88 @@ def _ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _FIRST, _WIDTH, _RANGE = _ranges()
 _SHIFT = np.array([int(w).bit_length() - 1 for w in _WIDTH], dtype=np.int32)
 _RANGE = _RANGE.astype(np.int16)
-_N, _SHARE, _FAN = len(_FIRST), (1 << 24) - 1, 16
+_SHARE, _FAN = (1 << 24) - 1, 16
+
+
+class _Start:
+    """What the head of a segment says: its ids by frequency, and how each block's model starts."""
+
+    def __init__(self, alphabet: np.ndarray, count: np.ndarray, one: np.ndarray, two: np.ndarray):
+        self.alphabet, self.count, self.one, self.two = (np.asarray(x, dtype="<u2") for x in (alphabet, count, one, two))
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[_Start, np.ndarray]:
+        """The start for these ids, and the ids as their places by frequency."""
+        often = np.bincount(ids, minlength=1)
+        alphabet = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
+        place = np.zeros(len(often), dtype=np.int64)
+        place[alphabet] = np.arange(len(alphabet))
+        x = place[ids]
+        n = -(-(int(_RANGE[len(alphabet) - 1]) + 1) // _FAN) * _FAN
+        count = 1 + np.bincount(_RANGE[x], minlength=n) * _PRIOR // len(x)
+        before = np.concatenate([np.zeros(2, np.int64), x])
+        return cls(alphabet, count, _followers(_slot1(before[1:-1]), x, _ONE), _followers(_slot2(before[1:-1], before[:-2]), x, _HALF)), x
+
+    def pack(self) -> bytes:
+        parts = (self.alphabet, self.count, self.one, self.two)
+        body = zlib.compress(np.array([len(x) for x in parts], dtype="<u4").tobytes() + b"".join(x.tobytes() for x in parts), 6)
+        body += b"\0" * (-len(body) % 4)
+        return np.array([len(body)], dtype="<u4").tobytes() + body
+
+    @classmethod
+    def unpack(cls, data: bytes, at: int) -> tuple[_Start, int]:
+        end = at + 4 + int(np.frombuffer(data, dtype="<u4", count=1, offset=at)[0])
+        body = zlib.decompressobj().decompress(data[at + 4 : end])
+        ends = 16 + 2 * np.cumsum(np.frombuffer(body, dtype="<u4", count=4))
+        return cls(*(np.frombuffer(body[i:j], dtype="<u2") for i, j in zip([16, *ends[:-1].tolist()], ends.tolist(), strict=True))), end
+
+
+def _slot1(prev1: np.ndarray) -> np.ndarray:
+    return prev1 * 40503 >> 4 & (_ONE - 1)
+
+
+def _slot2(prev1: np.ndarray, prev2: np.ndarray) -> np.ndarray:
+    return (prev1 * 40503 ^ prev2 * 30011) >> 3 & (_HALF - 1)
+
+
+def _followers(slot: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """The most frequent follower of each slot, the smaller of equals; the most frequent id where the slot does not occur."""
+    pair, often = np.unique(slot << BITS | x, return_counts=True)
+    order = np.lexsort((pair, -often, pair >> BITS))
+    slots = pair[order] >> BITS
+    first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]][: len(slots)])
+    out = np.zeros(n, dtype=np.int64)
+    out[slots[first]] = pair[order[first]] & ((1 << BITS) - 1)
+    return out
 
 
 class _Model:
     """The models of many lanes. ``n`` below is the number of lanes still in use, from the first."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, start: _Start):
         self.lane = np.arange(lanes, dtype=np.int64)
-        self.one = np.full(lanes * _ONE, (1 << BITS) - 1, dtype=np.int32)
-        self.two = np.full(lanes * _HALF, (1 << BITS) - 1, dtype=np.int32)
+        self.one = np.tile(start.one.astype(np.int32), lanes)
+        self.two = np.tile(start.two.astype(np.int32), lanes)
         state = np.arange(128)
         first = (state // 16 * 2 + 1) * 65535 // 18 << 16 | (state // 2 % 8 * 2 + 1) * 65535 // 18
         self.weights = np.tile(first.astype(np.uint32), lanes)  # 16 bits for order 2, 16 for order 1
-        self.count = np.ones((lanes, _N), dtype=np.int32)
+        self.n = len(start.count)
+        self.shift = _SHIFT[: self.n]
+        self.room = (1 << _BASE) - int(_FIRST[self.n - 1] + _WIDTH[self.n - 1])
+        self.count = np.tile(start.count.astype(np.int32), (lanes, 1))
         self.counts = self.count.ravel()
         self.prev1 = np.zeros(lanes, dtype=np.int64)
         self.prev2 = np.zeros(lanes, dtype=np.int64)
-        self.base1, self.base2, self.base0, self.base_w = self.lane * _ONE, self.lane * _HALF, self.lane * _N, self.lane * 128
+        self.base1, self.base2, self.base0, self.base_w = self.lane * _ONE, self.lane * _HALF, self.lane * self.n, self.lane * 128
         self.rebuild(lanes)
 
     def rebuild(self, n: int) -> None:
         """Order 0's intervals from its counts; every id keeps a share. A cell is start and share in one number."""
         c = self.count[:n]
-        share = (((1 << _BASE) - (1 << BITS)) // c.sum(axis=1)).astype(np.int32)
-        q = 1 + (c * share[:, None] >> _SHIFT)
-        cum = np.zeros((n, _N), dtype=np.int32)
-        np.cumsum((q << _SHIFT)[:, :-1], axis=1, out=cum[:, 1:])
+        share = (self.room // c.sum(axis=1)).astype(np.int32)
+        q = 1 + (c * share[:, None] >> self.shift)
+        cum = np.zeros((n, self.n), dtype=np.int32)
+        np.cumsum((q << self.shift)[:, :-1], axis=1, out=cum[:, 1:])
         self.cells = (cum.astype(np.int64) << 24 | q).ravel()
         self.coarse = np.ascontiguousarray(cum[:, ::_FAN])
         self.fine = cum.reshape(-1, _FAN)
@@ -89,14 +146,13 @@ class _Model:
     def cell_of(self, lanes: np.ndarray, v: np.ndarray) -> np.ndarray:
         """The cell of order 0 that holds each value, by comparing with every 16th start and then with 16."""
         w = v.astype(np.int32)[:, None]
-        row = lanes * (_N // _FAN) + (self.coarse[lanes] <= w).sum(axis=1) - 1
+        row = lanes * (self.n // _FAN) + (self.coarse[lanes] <= w).sum(axis=1) - 1
         return row * _FAN + (self.fine[row] <= w).sum(axis=1) - 1
 
     def predict(self, n: int) -> None:
         """The two predicted ids and their masses, for the ids that follow."""
-        a = self.prev1[:n] * 40503
-        self.at1 = self.base1[:n] + (a >> 4 & (_ONE - 1))
-        self.at2 = self.base2[:n] + ((a ^ self.prev2[:n] * 30011) >> 3 & (_HALF - 1))
+        self.at1 = self.base1[:n] + _slot1(self.prev1[:n])
+        self.at2 = self.base2[:n] + _slot2(self.prev1[:n], self.prev2[:n])
         self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
         self.c1, self.n1 = self.e1 & 0xFFFF, self.e1 >> 16
         self.c2, self.n2 = self.e2 & 0xFFFF, self.e2 >> 16
@@ -137,12 +193,14 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
     if not lanes:
         return head
     own = ids.astype("<u4")
+    start, ids = _Start.of(ids)
+    head += start.pack()
     sums = np.array([zlib.crc32(own[k * block : (k + 1) * block].tobytes()) for k in range(lanes)], dtype="<u4")
     last = len(ids) - (lanes - 1) * block
     grid = np.zeros(lanes * block, dtype=np.int64)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model = _Model(lanes)
+    model = _Model(lanes, start)
     low, rng = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
     words = np.zeros((block * 25 // 32 + 4, lanes), dtype=np.uint64)
     flat, pos = words.ravel(), np.zeros(lanes, dtype=np.int64)
@@ -193,9 +251,10 @@ def decode_ids(data: bytes) -> np.ndarray:
     lanes = -(-total // block)
     if not lanes:
         return np.empty(0, dtype="<u4")
-    size = np.frombuffer(data, dtype="<u4", count=lanes, offset=24).astype(np.int64)
-    sums = np.frombuffer(data, dtype="<u4", count=lanes, offset=24 + 4 * lanes)
-    words = np.concatenate([np.frombuffer(data, dtype="<u4", offset=24 + 8 * lanes), np.zeros(4, dtype="<u4")]).astype(np.uint64)
+    begin, at = _Start.unpack(data, 24)
+    size = np.frombuffer(data, dtype="<u4", count=lanes, offset=at).astype(np.int64)
+    sums = np.frombuffer(data, dtype="<u4", count=lanes, offset=at + 4 * lanes)
+    words = np.concatenate([np.frombuffer(data, dtype="<u4", offset=at + 8 * lanes), np.zeros(4, dtype="<u4")]).astype(np.uint64)
     if len(words) != size.sum() + 4:
         raise ValueError("a token segment is cut short")
     pos = np.cumsum(size) - size
@@ -204,7 +263,7 @@ def decode_ids(data: bytes) -> np.ndarray:
     pos = pos + 2
     rng = np.full(lanes, 2**64 - 1, dtype=np.uint64)
     last = total - (lanes - 1) * block
-    model = _Model(lanes)
+    model = _Model(lanes, begin)
     grid = np.zeros((block, lanes), dtype=np.int64)
     for t in range(min(block, total)):
         n = lanes if t < last else lanes - 1
@@ -223,7 +282,7 @@ def decode_ids(data: bytes) -> np.ndarray:
         w = ((u + 1 << _BASE) - 1) // rest
         at = model.cell_of(k, w)
         cell = model.cells[at]
-        q, r = cell & _SHARE, at - k * _N
+        q, r = cell & _SHARE, at - k * model.n
         c = cell >> 24
         off = np.minimum((w - c) // q, _WIDTH[r] - 1)
         x[k] = _FIRST[r] + off
@@ -238,7 +297,7 @@ def decode_ids(data: bytes) -> np.ndarray:
         pos[m] += 1
         grid[t, :n] = x
         model.learn(n, x)
-    ids = np.ascontiguousarray(grid.T).ravel()[:total].astype("<u4")
+    ids = begin.alphabet[np.minimum(np.ascontiguousarray(grid.T).ravel()[:total], len(begin.alphabet) - 1)].astype("<u4")  # a broken block may name more
     for k in range(lanes):
         if zlib.crc32(ids[k * block : (k + 1) * block].tobytes()) != sums[k]:
             raise ValueError(f"block {k} of a token segment fails its checksum")
@@ -248,27 +307,22 @@ def decode_ids(data: bytes) -> np.ndarray:
 class Tokens:
     """Ids of texts from a tokenizer file, remembering recent pieces between white space."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory = Memory(limit)
+        self.memory = PieceMemory(self._new, limit)
+
+    def _new(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text. No piece of a byte-level tokenizer crosses the cuts of split_text()."""
-        out = []
-        for at in range(0, len(texts), 256):
-            parts = [split_text(utf8(t).decode()) if t else [] for t in texts[at : at + 256]]
-            new = self.memory.missing([c for p in parts for c in p])
-            for k in range(0, len(new), 8192):
-                got = self.tokenizer.encode_batch_fast(new[k : k + 8192], add_special_tokens=False)
-                self.memory.new.update(zip(new[k : k + 8192], (np.array(e.ids, dtype="<u4").tobytes() for e in got), strict=True))
-            known = self.memory.new
-            out += [np.frombuffer(b"".join([known[c] for c in p]), dtype="<u4") for p in parts]
-        return out
+        """The ids of each text. No piece of a byte-level tokenizer crosses the places where texts are cut."""
+        ids, sizes = self.memory.ids(texts)
+        return np.split(ids.astype("<u4", copy=False), np.cumsum(sizes)[:-1]) if len(texts) else []
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -352,9 +406,17 @@ def segment_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: Callable[[], str], end_id: int = 2, path: str | None = None) -> DataFrame:
-    """Write a token file and give doc_id, start, n_tokens, ids_crc32 of each document as read from it."""
+    """Write a token file and give doc_id, start, n_tokens, ids_crc32 of each document as read from it.
+
+    Without a ``path`` the file lies in the shared folder and is removed once it is read.
+    """
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, vocabulary, end_id)
-    rows = _read(spark, path, "ids_crc32 long", lambda v: zlib.crc32(v.tobytes()), pa.int64())
-    return rows.join(segment_starts(spark, path), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    file = path or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    write_tokens(docs, file, vocabulary, end_id)
+    rows = _read(spark, file, "ids_crc32 long", lambda v: zlib.crc32(v.tobytes()), pa.int64())
+    out = rows.join(segment_starts(spark, file), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    if path:
+        return out
+    out = cut(out)
+    remove(spark, file)
+    return out
