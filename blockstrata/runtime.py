@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -67,6 +68,14 @@ def release(df: DataFrame) -> None:
         remove(df.sparkSession, file.get())
 
 
+def keep(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read again, and its path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def table_dir(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a dataset folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
