@@ -10,7 +10,7 @@ piece that has one left.
 
 Texts are cut where a run of white space begins after other characters. No match of
 the split pattern crosses such a place, so what lies between can be encoded on its own
-and kept in a bounded memory of recent pieces.
+and kept in a bounded memory of recent pieces (``pieces``).
 
 Defined results: null and empty text give no ids; whole texts are encoded however
 long; repeated rows give repeated results; extra columns are ignored.
@@ -20,51 +20,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from blockstrata.llm.common import id_text, map_rows, utf8
+from blockstrata.llm.pieces import PieceMemory
 
 #: Above every rank.
 _NONE = np.int64(1) << 22
-#: White space before a space, or at the end, where the quick cut would not hold.
-_ODD_SPACE = re.compile(r"[^\S\x1c-\x1f] ")
-_CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-
-
-def split_text(text: str) -> list[str]:
-    """Cut a text where white space begins after other characters."""
-    if _ODD_SPACE.search(text) or text.startswith(" "):
-        return _CHUNK.findall(text)
-    head, *rest = text.split(" ")
-    return [head, *[" " + w for w in rest]] if head or rest else []
-
-
-class Memory:
-    """A map of recent entries that forgets the older half when it is full."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.new, self.old = limit, {}, {}
-
-    def missing(self, keys: list) -> list:
-        """The distinct keys that are not known; known ones are brought to the front."""
-        new, old = self.new, self.old
-        if len(new) > self.limit:
-            self.new, self.old = {}, new
-            new, old = self.new, self.old
-        out: dict = {}
-        for k in set(keys).difference(new):
-            v = old.get(k)
-            if v is None:
-                out[k] = None
-            else:
-                new[k] = v
-        return list(out)
-
-
+#: Fewer pieces of like size are merged one by one.
+FEW = 12
 class Ranks:
     """The ranks of one vocabulary and the pairs of ids that merge."""
 
@@ -86,6 +53,7 @@ class Ranks:
         order = np.argsort(key, kind="stable")
         self.key = np.append(key[order], np.int64(2) ** 62)
         self.to = np.append(np.array(to, dtype=np.int64)[order], _NONE)
+        self.pairs: dict | None = None
         self.byte_id = np.array([self.rank[bytes([c])] for c in range(256)], dtype=np.int64)
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,6 +75,10 @@ class Ranks:
             else:
                 out[i] = np.empty(0, dtype=np.int64)
         for size, members in sizes.items():
+            if len(members) < FEW:
+                for i in members:
+                    out[i] = self._merge_one(pieces[i], size)
+                continue
             step = max(1, (1 << 21) // size)
             for at in range(0, len(members), step):
                 self._merge(pieces, members[at : at + step], size, out)
@@ -156,6 +128,46 @@ class Ranks:
             out[i] = values[start:stop]
             start = stop
 
+    def _merge_one(self, piece: bytes, size: int) -> np.ndarray:
+        """Merge one piece by a tree of ``size`` leaves in plain lists; quicker than arrays for few long pieces."""
+        if self.pairs is None:
+            width = int(self.width)
+            self.pairs = {(k // width, k % width): v for k, v in zip(self.key[:-1].tolist(), self.to[:-1].tolist(), strict=True)}
+        n, rank, none = len(piece), self.pairs.get, int(_NONE)
+        ids = [int(self.byte_id[c]) for c in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree = [none * size] * (2 * size)
+        for i in range(n - 1):
+            tree[size + i] = rank((ids[i], ids[i + 1]), none) * size + i
+        for i in range(size - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+        def update(leaf: int, value: int) -> None:
+            node = size + leaf
+            tree[node] = value * size + leaf
+            node >>= 1
+            while node:
+                low = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == low:  # nothing changes above
+                    return
+                tree[node] = low
+                node >>= 1
+
+        while tree[1] < none * size:
+            value, at = divmod(tree[1], size)
+            gone = after[at]
+            then = after[gone]
+            ids[at], ids[gone], after[at] = value, -1, then
+            update(gone, none)
+            if then < n:
+                before[then] = at
+                update(at, rank((value, ids[then]), none))
+            else:
+                update(at, none)
+            if before[at] >= 0:
+                update(before[at], rank((ids[before[at]], value), none))
+        return np.array([v for v in ids if v >= 0], dtype=np.int64)
+
     @staticmethod
     def _update(tree: np.ndarray, rows: np.ndarray, leaf: np.ndarray, rank: np.ndarray, size: int) -> None:
         """Set one leaf in each row and repair its path to the root."""
@@ -173,39 +185,25 @@ class Ranks:
 class Codec:
     """Encodes texts by one vocabulary and pattern, remembering recent pieces."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str, limit: int = 1_000_000):
         import regex
 
         self.ranks, self.pattern = Ranks(path), regex.compile(pattern)
-        self.memory = Memory(limit)
+        self.memory = PieceMemory(self._new, limit)
+
+    def _new(self, chunks: list[str]) -> list[np.ndarray]:
+        """The ids of each chunk; equal matches of the pattern are merged once."""
+        matches = [self.pattern.findall(c) for c in chunks]
+        place: dict[str, int] = {}
+        own = [[place.setdefault(p, len(place)) for p in m] for m in matches]
+        ids = [v.astype(np.uint32) for v in self.ranks.encode_pieces([utf8(p) for p in place])]
+        none = np.empty(0, dtype=np.uint32)
+        return [ids[k[0]] if len(k) == 1 else np.concatenate([ids[i] for i in k]) if k else none for k in own]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers."""
-        parts = [split_text(utf8(t).decode()) if t else [] for t in texts]
-        out: list = []
-        for at in range(0, len(parts), 256):
-            group = parts[at : at + 256]
-            self._learn([c for p in group for c in p])
-            known = self.memory.new
-            out += [np.frombuffer(b"".join([known[c] for c in p]), dtype="<u4") for p in group]
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        new = self.memory.missing(chunks)
-        if not new:
-            return
-        owner, pieces = [], []
-        for i, c in enumerate(new):
-            got = self.pattern.findall(c)
-            pieces += [utf8(p) for p in got]
-            owner += [i] * len(got)
-        distinct = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
-        ids = self.ranks.encode_pieces(list(distinct))
-        found = [v.astype("<u4").tobytes() for v in ids]
-        whole = [b""] * len(new)
-        for i, p in zip(owner, pieces, strict=True):
-            whole[i] += found[distinct[p]]
-        self.memory.new.update(zip(new, whole, strict=True))
+        ids, sizes = self.memory.ids(texts)
+        return np.split(ids.astype("<u4", copy=False), np.cumsum(sizes)[:-1]) if len(texts) else []
 
 
 _CODECS: dict = {}
