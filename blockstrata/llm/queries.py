@@ -48,7 +48,7 @@ def op3_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockstrata.llm import contamination as m
 
-    return m.contamination(table_dir(spark, sf_dir, "documents"), table_dir(spark, sf_dir, "benchmark"))
+    return m.contamination(table_dir(spark, sf_dir, "documents"), table_dir(spark, sf_dir, "benchmark")).drop("hit_chars")  # SQL has no offsets of words
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
