@@ -45,7 +45,11 @@ def timeouts(requests: DataFrame, answers_: DataFrame, seconds: int = 5) -> Data
 
 
 def first_copies(blocks: DataFrame) -> DataFrame:
-    """Whether each block of a stream (name, seq) is new or a duplicate; one flag of state a name."""
+    """Whether each block of a stream (name, seq) is new or a duplicate.
+
+    State is one flag for every name ever seen, without a bound, since a name may come
+    again at any time; ``recent_copies`` forgets names instead.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(batches).sort_values("seq", kind="stable")
@@ -56,6 +60,11 @@ def first_copies(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("name").applyInPandasWithState(step, "name string, seq long, is_duplicate boolean", "seen boolean", "append", "NoTimeout")
 
 
+def recent_copies(blocks: DataFrame, ts: str, keep: str = "1 hour") -> DataFrame:
+    """The blocks of a stream (name and event time ``ts``) whose name did not come within ``keep`` before; names older than the watermark are forgotten."""
+    return blocks.withWatermark(ts, keep).dropDuplicatesWithinWatermark(["name"])
+
+
 def chapter_sink(records: DataFrame, path: str, checkpoint: str):
     """A writer that appends closed chapters in micro-batches, one folder a chapter; running a batch again replaces its chapters."""
     from blockstrata.sources.chapters import write_chapters

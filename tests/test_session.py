@@ -33,6 +33,30 @@ def test_index_session(spark, tmp_path):
     assert rows(again.held(), "key", "metadata") == [(7, 5.0)]
 
 
+def test_index_session_over_many_saves(spark, tmp_path, monkeypatch):
+    from blockstrata import session
+
+    monkeypatch.setattr(session, "FULL", 3)
+    s, want, seq = IndexSession(spark, str(tmp_path / "i")).open("create"), {}, 0
+    for k in range(7):
+        batch = [(seq, k % 3, "UPDATE", float(k)), (seq + 1, k, "POST", 0.5), (seq + 2, (k + 1) % 4, "DELETE", None)]
+        seq += 3
+        got = rows(s.ask(spark.createDataFrame(batch, REQ)), "seq", "found", "old_metadata")
+        for (n, key, op, value), answer in zip(batch, got, strict=True):
+            assert answer == (n, key in want, want.get(key))
+            if op == "DELETE":
+                want.pop(key, None)
+            elif op == "UPDATE" or key not in want:
+                want[key] = value
+        if k != 4:
+            s.flush()
+    s.close()
+    again = IndexSession(spark, str(tmp_path / "i")).open("load")
+    assert rows(again.held(), "key", "metadata") == sorted(want.items())
+    names = sorted(p.name for p in (tmp_path / "i").iterdir())
+    assert [n for n in names if n.startswith("full")] == ["full-000001", "full-000004", "full-000007"]
+
+
 def test_messages(spark, tmp_path):
     e = Engine("dm0", IndexSession(spark, str(tmp_path / "i")), lambda: spark.createDataFrame([(3, 4)], "written long, zeros long"), 100)
     e.message("index-create")
@@ -76,6 +100,10 @@ def test_streams(spark, tmp_path):
     q = ST.first_copies(src).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "o")), "seq", "is_duplicate") == [(1, False), (2, True), (3, False)]
+    spark.sql("select * from values ('a', timestamp'2024-01-01 00:00:00'), ('a', timestamp'2024-01-01 00:10:00'), ('b', timestamp'2024-01-01 00:20:00') t(name, ts)").coalesce(1).write.parquet(str(tmp_path / "t"))
+    late = ST.recent_copies(spark.readStream.schema("name string, ts timestamp").parquet(str(tmp_path / "t")), "ts")
+    late.writeStream.format("memory").queryName("recent").option("checkpointLocation", str(tmp_path / "c3")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    assert rows(spark.sql("select * from recent"), "name") == [("a",), ("b",)]
     spark.sql("select 1L as chapter, 'n' as name").coalesce(1).write.parquet(str(tmp_path / "r"))
     q = ST.chapter_sink(spark.readStream.schema("chapter long, name string").parquet(str(tmp_path / "r")), str(tmp_path / "ch"), str(tmp_path / "cc")).trigger(availableNow=True).start()
     q.awaitTermination(120)
