@@ -15,19 +15,19 @@ from blockstrata.runtime import arrow_batches, ship
 def map_rows(df: DataFrame, columns: list, schema: str, make: Callable, rows: int = 2000) -> DataFrame:
     """Run ``make()(list, list, ...) -> dict of columns`` over Arrow batches of ``columns``.
 
-    ``make`` is called once in each task; what it returns gets one Python list for
-    each column and gives a dict of lists (or Arrow arrays) in the order of ``schema``.
+    ``make`` is called once in each task; what it returns gets one Python list of at most
+    ``rows`` values for each column and gives a dict of lists (or Arrow arrays) in the order of ``schema``.
     """
     spark = df.sparkSession
     ship(spark)
-    arrow_batches(spark, rows)
+    arrow_batches(spark)
     src = df.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
-            if b.num_rows:
-                out = fn(*(c.to_pylist() for c in b.columns))
+            for at in range(0, b.num_rows, rows):
+                out = fn(*(c.to_pylist() for c in b.slice(at, rows).columns))
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for (v, t) in zip(out.values(), types, strict=True)], names=list(out))
 
     types = [_ARROW[x.split()[-1]] for x in schema.split(", ")]

@@ -343,7 +343,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: Callable[[], str], end_
     """
     spark = docs.sparkSession
     ship(spark)
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = id_text(docs).repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     end = np.array([end_id], dtype="<u4")
@@ -359,13 +359,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: Callable[[], str], end_
             return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "doc_ids", "lengths", "payload"])
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist()), strict=True):
-                ids.append(i)
-                parts.append(np.concatenate([v, end]))
-                held += len(parts[-1])
-                if held >= segment:
-                    yield flush()
-                    ids, parts, held, seq = [], [], 0, seq + 1
+            for k in range(0, b.num_rows, 500):
+                few = b.slice(k, 500)
+                for i, v in zip(few.column(0).to_pylist(), own.encode(few.column(1).to_pylist()), strict=True):
+                    ids.append(i)
+                    parts.append(np.concatenate([v, end]))
+                    held += len(parts[-1])
+                    if held >= segment:
+                        yield flush()
+                        ids, parts, held, seq = [], [], 0, seq + 1
         if ids:
             yield flush()
 
@@ -379,11 +381,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, column: str, make: Callable, kind: pa.DataType) -> DataFrame:
     ship(spark)
-    arrow_batches(spark, 4)
+    arrow_batches(spark)
 
     def run(batches):
         for b in batches:
-            for part, seq, ids, lengths, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for n in range(b.num_rows):  # a segment at a time
+                part, seq, ids, lengths, data = (c[n].as_py() for c in b.columns)
                 all_ids, stop = decode_ids(data), np.cumsum(lengths)
                 start = stop - lengths
                 for at in range(0, len(ids), 1000):
