@@ -30,10 +30,10 @@ def ship(spark: SparkSession) -> None:
     sc._blockstrata_shipped = True
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "32m") -> None:
-    """Bound the Arrow batches that Python operators receive, by rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python operators receive, by rows and bytes; the same for all, since the session holds them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
 
 
 def shared_dir(spark: SparkSession) -> str:
