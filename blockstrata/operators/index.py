@@ -7,34 +7,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockstrata.operators.ordering import running_count
+from blockstrata.operators.ordering import ranges, running_count
 
 #: Requests that leave a key in the index, and those that take part in what it holds.
 WRITES = ("POST", "UPDATE")
 
 
-def answers(requests: DataFrame, window: int | None = None) -> DataFrame:
+def answers(requests: DataFrame, window: int | None = None, buckets: int = 64) -> DataFrame:
     """Each request with ``found`` and ``old_metadata`` as an index without expiry answers it.
 
     A key is present when its last POST, UPDATE or DELETE before is not a DELETE. Its
     metadata are those of the last UPDATE since the last DELETE, or else of the first
     POST. With ``window`` a key also leaves after that many requests without a POST,
     UPDATE or QUERY of it: a count-based stand-in for chapters, not their exact fold.
+
+    Runs between DELETEs are counted, and what came before is carried on, by ranges of seq,
+    so a key with a third of all requests is spread over ``buckets`` tasks.
     """
-    order = Window.partitionBy("key").orderBy("seq")
-    prior = order.rowsBetween(Window.unboundedPreceding, -1)
-    runs = requests.withColumn("run", F.coalesce(F.sum(F.when(F.col("op") == "DELETE", 1).otherwise(0)).over(prior), F.lit(0)))
-    own = Window.partitionBy("key", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    is_delete = F.col("op") == "DELETE"
-    posted = F.first(F.when(F.col("op") == "POST", F.col("metadata")), ignorenulls=True).over(own)
-    updated = F.last(F.when(F.col("op") == "UPDATE", F.col("metadata")), ignorenulls=True).over(own)
-    wrote = F.max(F.when(F.col("op").isin(*WRITES), F.col("seq"))).over(own)
-    found = wrote.isNotNull()
-    out = runs.withColumns({"found": found, "old_metadata": F.coalesce(updated, posted), "is_delete": is_delete})
+    bucket = ranges(requests, "seq", buckets)
+    op, meta, seq = F.col("op"), F.col("metadata"), F.col("seq")
+    runs = running_count(requests, "key", "seq", op == "DELETE", "run", bucket=bucket).withColumn("_range", bucket)
+    posted, updated = F.when(op == "POST", meta), F.when(op == "UPDATE", meta)
+    wrote, fresh = F.when(op.isin(*WRITES), seq), F.when(op.isin(*WRITES, "QUERY"), seq)
+    by = ["key", "run", "_range"]
+    own = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    here = {"_posted": F.first(posted, ignorenulls=True).over(own), "_updated": F.last(updated, ignorenulls=True).over(own), "_wrote": F.max(wrote).over(own), "_fresh": F.max(fresh).over(own)}
+    sums = runs.groupBy(*by).agg(F.min_by(posted, F.when(posted.isNotNull(), seq)).alias("p"), F.max_by(updated, F.when(updated.isNotNull(), seq)).alias("u"), F.max(wrote).alias("w"), F.max(fresh).alias("f"))
+    prior = Window.partitionBy("key", "run").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    carried = sums.select(*by, F.first("p", ignorenulls=True).over(prior).alias("_p"), F.last("u", ignorenulls=True).over(prior).alias("_u"), F.max("w").over(prior).alias("_w"), F.max("f").over(prior).alias("_f"))
+    out = runs.withColumns(here).join(carried, by)
+    found = F.coalesce("_wrote", "_w").isNotNull()
     if window is not None:
-        fresh = F.max(F.when(F.col("op").isin(*WRITES, "QUERY"), F.col("seq"))).over(own)
-        out = out.withColumn("found", F.col("found") & (F.col("seq") - fresh <= window)).withColumn("old_metadata", F.when(F.col("found"), F.col("old_metadata")))
-    return out.drop("is_delete", "run")
+        found = found & (seq - F.coalesce("_fresh", "_f") <= window)
+    old = F.coalesce("_updated", "_u", "_p", "_posted")
+    return out.select(*requests.columns, found.alias("found"), (old if window is None else F.when(found, old)).alias("old_metadata"))
 
 
 def stats(answered: DataFrame) -> DataFrame:

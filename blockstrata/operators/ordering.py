@@ -33,9 +33,9 @@ def ranks(rows: DataFrame, key: str, order: list[str], name: str, buckets: int =
     return own.withColumn("_nth", nth).join(before, [key, "_bucket"]).withColumn(name, F.col("_before") + F.col("_nth")).drop("_bucket", "_before", "_nth")
 
 
-def running_count(rows: DataFrame, key: str, seq: str, flag, name: str, buckets: int = 64) -> DataFrame:
+def running_count(rows: DataFrame, key: str, seq: str, flag, name: str, buckets: int = 64, bucket=None) -> DataFrame:
     """Rows with the number of flagged rows before each in its key, by the number ``seq``; counted by ranges, as ``ranks``."""
-    own = rows.withColumns({"_bucket": ranges(rows, seq, buckets), "_flag": F.when(flag, 1).otherwise(0).cast("long")})
+    own = rows.withColumns({"_bucket": ranges(rows, seq, buckets) if bucket is None else bucket, "_flag": F.when(flag, 1).otherwise(0).cast("long")})
     sums = own.groupBy(key, "_bucket").agg(F.sum("_flag").alias("_n"))
     before = sums.select(key, "_bucket", (F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).alias("_before"))
     w = Window.partitionBy(key, "_bucket").orderBy(seq)

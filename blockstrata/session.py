@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from blockstrata.operators import index as I
 from blockstrata.operators import stats as S
-from blockstrata.runtime import cut
+from blockstrata.runtime import keep, remove
 
 _HELD = "key long, metadata double, seq long, gone boolean"
 #: Saves of changes, at most, before one with all keys.
@@ -32,7 +32,7 @@ class IndexSession:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.state = spark, path.rstrip("/"), "closed"
-        self.saves, self.base, self.recent, self.counts = 0, 0, [], None
+        self.saves, self.base, self.recent, self.kept, self.counts = 0, 0, [], [], None
 
     def _at(self, n: int, full: bool) -> str:
         return f"{self.path}/{'full' if full else 'save'}-{n:06d}"
@@ -84,13 +84,14 @@ class IndexSession:
         return self._latest(self._saved()).filter("not gone").select("key", "metadata", "seq")
 
     def ask(self, requests: DataFrame, callback: Callable[[DataFrame], None] | None = None) -> DataFrame:
-        """Answers to requests (seq, key, op, metadata), after all that was asked before; ``callback`` gets them too."""
+        """Answers to requests (seq, key, op, metadata), after all that was asked before; ``callback`` gets them too. They last until the session closes."""
         self._need("online")
         own = requests.select("seq", "key", "op", "metadata", F.lit(0).alias("kind"))
         after = own.groupBy("key").agg((F.max("seq") + 1).alias("seq")).select("seq", "key", F.lit("QUERY_NO_UPDATE").alias("op"), F.lit(None).cast("double").alias("metadata"), F.lit(1).alias("kind"))
         known = self._latest([df.join(after.select("key"), "key", "left_semi") for df in [*self._saved(), *self.recent]]).filter("not gone")
         start = known.join(own.groupBy("key").agg(F.min("seq").alias("first")), "key").select((F.col("first") - 1).alias("seq"), "key", F.lit("UPDATE").alias("op"), "metadata", F.lit(2).alias("kind"))
-        done = cut(I.answers(start.unionByName(own).unionByName(after)))
+        done, path = keep(I.answers(start.unionByName(own).unionByName(after)))
+        self.kept.append(path)
         self.recent.append(done.filter("kind = 1").select("key", F.col("old_metadata").alias("metadata"), "seq", (~F.col("found")).alias("gone")))
         answered = done.filter("kind = 0").drop("kind")
         self.counts = I.stats(answered)
@@ -124,7 +125,9 @@ class IndexSession:
     def close(self) -> None:
         if self.state == "online":
             self.flush()
-        self.state, self.recent = "closed", []
+        for path in self.kept:
+            remove(self.spark, path)
+        self.state, self.recent, self.kept = "closed", [], []
 
     def stats(self) -> DataFrame:
         """Requests by kind and outcome of the last call."""
