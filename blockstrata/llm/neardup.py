@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockstrata.llm.bpe import Memory
-from blockstrata.llm.common import arrow_batches, id_text, only_ids, ship, utf8
+from blockstrata.llm.common import WordHashes, arrow_batches, id_text, only_ids, ship
 from blockstrata.runtime import cut, release
 
 SHINGLE = 4
@@ -44,34 +43,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A-Z in lower case, white space as spaces, all other bytes as they are.
+_PLAIN = bytes(32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
 class Shingler:
     """Hashes the word shingles of texts."""
 
     def __init__(self, size: int):
-        import xxhash
-
-        self.size, self.hash, self.memory = size, xxhash.xxh3_64_intdigest, Memory()
+        self.size, self.words = size, WordHashes(_PLAIN)
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """The distinct 64-bit shingle hashes of each text, in ascending order."""
-        words = [utf8(t).lower().split() for t in texts]
-        flat = [w for ws in words for w in ws]
-        new = self.memory.missing(flat)
-        self.memory.new.update(zip(new, map(self.hash, new), strict=True))
-        known = self.memory.new
-        h = np.fromiter(map(known.__getitem__, flat), dtype=np.uint64, count=len(flat))
+        words = self.words.of(texts)
+        n = np.array([len(w) for w in words], dtype=np.int64)
+        flat = np.concatenate(words) if words else np.empty(0, np.uint64)
+        every = self._rolled(flat, self.size)
         out, at = [], 0
-        for ws in words:
-            n = len(ws)
-            own, at = h[at : at + n], at + n
-            m = max(1, n - self.size + 1) if n else 0
-            width = min(n, self.size)
-            x = np.full(m, width, dtype=np.uint64)
-            for k in range(width):
-                x = _mix((x + _M3) ^ own[k : k + m])
-            out.append(np.unique(x))
+        for w, m in zip(words, n.tolist(), strict=True):
+            own = every[at : at + m - self.size + 1] if m >= self.size else self._rolled(w, m)[:m and 1]
+            out.append(np.unique(own))
+            at += m
         return out
 
+    @staticmethod
+    def _rolled(words: np.ndarray, width: int) -> np.ndarray:
+        """The hash of the ``width`` words from each place on."""
+        m = max(0, len(words) - width + 1)
+        x = np.full(m, width, dtype=np.uint64)
+        for k in range(width):
+            x = _mix((x + _M3) ^ words[k : k + m])
+        return x
+
 
 def signatures(sets: list[np.ndarray], k: int = CHUNKS * CHUNK, seed: int = 11) -> np.ndarray:
     """A row of k 16-bit minima for each non-empty set; rows of empty sets are 0."""
