@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA, same, views
 from pyspark.sql import functions as F
 
-from blockstrata.llm import bpe, contamination, licenses, neardup, passages, pii, quality, queries, tokencount, tokenfile, topk
+from blockstrata.llm import bpe, common, contamination, licenses, neardup, passages, pii, quality, queries, tokencount, tokenfile, topk
 from blockstrata.runtime import table_dir
 
 WORDS = "the quick brown fox jumps over lazy dog and ran away from every Ünïcode naïve 東京 word in its path 12 7".split()
@@ -137,6 +137,66 @@ def test_licenses_with_inserted_clauses():
 # op3
 
 
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diag = 0
+        for j, y in enumerate(b):
+            up = row[j + 1]
+            row[j + 1] = diag + 1 if x == y else max(up, row[j])
+            diag = up
+    return row[-1]
+
+
+def test_common_subsequences():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randrange(rng.randrange(1, 6)) for _ in range(rng.randrange(25))] for _ in range(2))
+        got = common.common_pairs(a, b)
+        assert common.common_length(a, b) == plain_common(a, b) == len(got) and all(a[i] == b[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_licenses_side_by_side_and_interrupted():
+    finder = licenses.Finder(licenses.TEMPLATES)
+    said = "Released under the MIT License."
+    assert [(s, e) for s, e, _, _ in finder.find(f"License. {said} {said} Released")] == [(1, 6), (6, 11)]
+    assert [(s, e) for s, e, _, _ in finder.find(" ".join([said] * 9))] == [(5 * k, 5 * k + 5) for k in range(9)]
+    t = licenses.TEMPLATES["BSD-grant"].split()
+    assert finder.find(" ".join([*t[:11], *(f"foreign{i}" for i in range(9)), *t[11:]])) == [(0, len(t) + 9, "BSD-grant", 1.0)]
+    for name, text in licenses.TEXTS.items():
+        assert [(n, c) for _, _, n, c in finder.find(f"one {text} two {text} three") if n == name] == [(name, 1.0)] * 2
+
+
+def test_licenses_against_brute_force():
+    rng = random.Random(23)
+    for case in range(60):
+        alphabet = [f"t{i}" for i in range(rng.choice((4, 8, 30)))]
+        template = [rng.choice(alphabet) for _ in range(rng.randrange(4, 13))]
+        text: list = []
+        for _ in range(rng.randrange(1, 4)):
+            text += [f"u{rng.randrange(9)}" if rng.random() < 0.7 else rng.choice(alphabet) for _ in range(rng.randrange(8))]
+            for x in template:
+                text += [f"u{rng.randrange(9)}"] * (rng.random() < 0.15) + ([x] if rng.random() < 0.93 else [])
+        need, wide = 0.8 * len(template), 2 * len(template)
+        got = licenses.Finder({"t": " ".join(template)}).find(" ".join(text))
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+        for s, e, _, c in got:  # what is found reaches the coverage that is stated
+            assert plain_common(text[s:e], template) >= round(c * len(template)) >= need
+        for s in range(len(text)):  # what reaches it meets what is found
+            stretch = text[s : s + wide]
+            if plain_common(stretch, template) >= need:
+                assert any(a < s + wide and s < b for a, b, *_ in got), (case, text, template)
+
+
+def test_licenses_of_awkward_rows(spark):
+    said = licenses.TEMPLATES["MIT"]
+    rows = [(1, said), (1, said), (None, said), (2, None), (3, " "), (4, "word " * 200_000 + said + " word" * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS licenses", "1 AS spans", "2 AS n_notices")
+    got = sorted(((r.doc_id or 0, r.n_notices, r.spans) for r in licenses.find_licenses(df).collect()))
+    assert got == [(0, 1, "MIT:0:5:100"), (1, 1, "MIT:0:5:100"), (1, 1, "MIT:0:5:100"), (2, 0, ""), (3, 0, ""), (4, 1, "MIT:200000:200005:100")]
+
+
 def test_fenwick_and_chains():
     f = passages.Fenwick(8)
     for at, v in ((3, 5.0), (1, 7.0), (6, 6.0)):
@@ -207,6 +267,111 @@ def test_shared_passages_at_every_place(spark):
     assert sorted((r.doc_id, r.other_id, r.start, r.stop, r.other_start, r.other_stop) for r in got) == [(1, 0, 10, 70, 20, 80), (1, 0, 100, 160, 20, 80), (3, 2, 87, 157, 70, 140), (5, 4, 15, 75, 0, 60), (5, 4, 15, 75, 90, 150)]
 
 
+def test_shared_passages_among_many_short_quotes(spark):
+    rng = random.Random(18)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    shared = fresh(60)
+    rows = [(i, fresh(40) + shared[i : i + 20] + fresh(40)) for i in range(41)] + [(100, fresh(30) + shared + fresh(30)), (101, fresh(20) + shared + fresh(50))]
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.other_id, r.start, r.stop, r.matched) for r in got] == [(101, 100, 20, 80, 60)]
+
+
+def test_shared_passages_with_long_insertions(spark):
+    rng = random.Random(19)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n in (20, 58, 59, 70, 100):  # one word more between two matching stretches, then words that differ now and then
+        a = fresh(n + 8)
+        b = a[:4] + ["more"] + a[4:]
+        rows += [fresh(10) + a + fresh(30), fresh(30) + b + fresh(10)]
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.other_id, r.matched) for r in got) == [(3, 2, 66), (5, 4, 67), (7, 6, 78), (9, 8, 108)]
+
+
+def test_shared_passages_beyond_the_first_reach(spark, monkeypatch):
+    monkeypatch.setattr(passages, "REACH", 3)
+    rng = random.Random(20)
+    a = [f"u{rng.randrange(10**6)}" for _ in range(200)]
+    b = [w if i % 4 and (i < 90 or i > 110) or 90 <= i <= 110 else f"x{i}" for i, w in enumerate(a)]  # three of four words, and a whole stretch within
+    whole = passages.align([(90, 90), (106, 106)], a, b)
+    got = passages.shared_passages(spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b))], "doc_id long, text string")).collect()
+    best = passages.trim([(90, 90), (106, 106)], a, b, 50, 0.8)
+    assert [(r.start, r.stop, r.matched) for r in got] == ([(whole[0], whole[1], whole[4])] if whole[4] >= 0.8 * (whole[1] - whole[0]) else [(best[0], best[1], best[4])])
+
+
+def test_shared_passages_of_awkward_rows(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    shared, long = fresh(55), fresh(30_000)
+    a, b, c = fresh(20) + shared, shared + fresh(20), fresh(60)
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (2, " ".join(b)), (2, " ".join(c)), (3, " ".join(c)), (4, " ".join(long + shared)), (None, " ".join(b)), (5, None), (6, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS other_id", "1 AS start", "2 AS xs", "3 AS bucket", "doc_id AS key")
+    got = passages.shared_passages(df).collect()
+    assert sorted((r.doc_id, r.other_id, r.start, r.stop, r.other_start, r.other_stop) for r in got) == [(2, 1, 0, 55, 20, 75), (3, 2, 0, 60, 0, 60), (4, 1, 30_000, 30_055, 20, 75)]
+
+
+def test_shared_passages_against_brute_force(spark):
+    rng = random.Random(22)
+    words_ = [f"w{i}" for i in range(3000)]
+    fresh = lambda n: [rng.choice(words_) for _ in range(n)]
+    pool = [fresh(rng.randrange(50, 120)) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        t = fresh(rng.randrange(20, 80))
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(pool)
+            lo = rng.randrange(0, 20) if rng.random() < 0.3 else 0
+            p = [rng.choice(words_) if rng.random() < rng.choice((0, 0.05, 0.12)) else w for w in p[lo:]]
+            t += p + fresh(rng.randrange(5, 40))
+        texts.append(t)
+    want = {(i, j) for i in range(60) for j in range(i) if plain_shared(texts[i], texts[j])}
+    got = {(r.doc_id, r.other_id) for r in passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    # a passage is reported with its hub, not with everyone who has it: each document with any link has one, within its component
+    linked = lambda pairs: {x for p in pairs for x in p}
+    assert len(linked(got) & linked(want)) >= 0.95 * len(linked(want)) and len(linked(got) - linked(want)) <= 2
+
+
+def any_passage(a, b, least=50, alike=0.8):
+    """Whether two texts (arrays of word hashes) share a passage without insertions, by every window of every diagonal."""
+    same_ = a[:, None] == b[None, :]
+    for d in range(least - len(a), len(b) - least + 1):
+        hit = np.cumsum(np.r_[0, np.diagonal(same_, d)])
+        if hit[-1] >= alike * least:  # longer passages hold one of 50 to 99 words
+            if any((hit[n:] - hit[:-n]).max() >= alike * n for n in range(least, min(2 * least, len(hit)))):
+                return True
+    return False
+
+
+def test_shared_passages_on_documents(spark):
+    d = table_dir(spark, DATA, "documents").filter("n_chars < 4000")
+    rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+    words_ = dict(zip([i for i, _ in rows], common.WordHashes(contamination._NORMAL).of([t for _, t in rows]), strict=True))
+    holders: dict = {}
+    for i, w in words_.items():
+        for s in set(passages.seeds(w).tolist()):
+            holders.setdefault(s, []).append(i)
+    count: dict = {}
+    for own in holders.values():
+        for k, a in enumerate(sorted(own)):
+            for b in sorted(own)[:k]:
+                count[a, b] = count.get((a, b), 0) + 1
+    want = {p for p, n in count.items() if n >= 4 and any_passage(words_[p[0]], words_[p[1]])}
+    got = {(r.doc_id, r.other_id) for r in passages.shared_passages(d).collect()}
+    linked = lambda pairs: {x for p in pairs for x in p}
+    assert len(want) > 20 and linked(want) <= linked(got)
+
+    def classes(pairs):
+        root = {x: x for x in linked(pairs)}
+        for _ in range(len(root)):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    whole, own = classes(want | got), classes(got)
+    assert sum(whole[x] == own[x] for x in linked(want)) >= 0.95 * len(linked(want))
+    assert len(got - want) <= 0.1 * len(got)  # passages with insertions
+
+
 # op4
 
 
@@ -345,6 +510,35 @@ def test_token_counts(docs, none):
     assert tokencount.count_documents(none, find).count() == 0
 
 
+def test_token_counts_by_chunks(monkeypatch):
+    own = tokencount.Encoder(queries.vocabulary("word_bpe_49k.json")())
+    rng = random.Random(24)
+    bits = ["don't ", "<|endoftext|>", "<|startoftext|> ", "\n", "\t", "é ", "\u0301 ", "word ", "WORD ", "東京 ", "12 ", "'s ", "... ", " ", "ǆ ", "ΟΔΟΣ ", "x" * 37, "\x1c", "\r\n", "a b c d e f "]
+    monkeypatch.setattr(own, "counts", None)  # no sum over words
+    asked: list = []
+    tokens = own.tokens
+    monkeypatch.setattr(own, "tokens", lambda t, a, b: asked.append((a, b)) or tokens(t, a, b))
+    whole = lambda t: len(own.tokenizer.encode(t, add_special_tokens=False))
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(60, 200)))
+        assert tokencount.count_tokens(own, text, 40, 4) == whole(text)
+    asked.clear()
+    text = "some words first " * 20 + "x" * 900 + " and words behind" * 20  # no place to cut in the run: overlaps widen, then the chunk grows
+    assert tokencount.count_tokens(own, text, 100, 10) == whole(text)
+    assert max(b - a for a, b in asked) > 900 and len({b - a for a, b in asked}) > 3
+    asked.clear()
+    monkeypatch.setattr(own, "provable", False)
+    assert tokencount.count_tokens(own, text, 100, 10) == whole(text) and asked[-1] == (0, len(text))
+
+
+def test_splice_needs_a_stable_common_place():
+    ours, theirs = ([0, 5, 10, 15, 20, 25], [1, 2, 3, 4, 5, 6]), ([10, 15, 20, 25, 30], [3, 4, 5, 6, 7])
+    assert tokencount.splice("word " * 8, ours, theirs, 3) == (10, 2, 0)
+    assert tokencount.splice("wordy" * 8, ours, theirs, 3) is None  # no white space before it
+    assert tokencount.splice("word " * 8, ours, ([11, 15, 21, 25], [3, 4, 5, 6]), 3) is None  # other tokens around it
+    assert tokencount.splice("word " * 2 + "é" * 30, ours, theirs, 3) is None
+
+
 # op8
 
 
@@ -444,6 +638,35 @@ def test_near_duplicates_on_documents(spark):
     assert by_id(neardup.near_duplicates(d), "n_shingles", "component_id", "kept") == plain_near(rows, 4, 80)
 
 
+def test_near_duplicates_of_growing_crowds(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    rng = random.Random(30)
+    base = [f"w{k}" for k in range(80)]
+    cost = []
+    for n in (300, 600, 1200):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+            rows.append((i, " ".join(w)))
+        before = written()
+        got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id", "kept")
+        cost.append(written() - before)
+        if n == 300:
+            assert got == plain_near(rows, 4, 80)
+    assert cost[1] < 2.6 * cost[0] and cost[2] < 2.6 * cost[1]
+
+
+def test_shared_counts_of_sets():
+    rng = np.random.default_rng(31)
+    for size in (5, 60, 3000):
+        left, right = ([np.unique(rng.integers(0, size, rng.integers(0, 200))) for _ in range(n)] for n in (17, 40))
+        got = neardup.shared_counts(left, right, most=500)
+        assert (got == [[len(np.intersect1d(a, b)) for b in right] for a in left]).all()
+
+
 def test_signatures_meet_within_the_distance():
     rng = np.random.default_rng(9)
     a = rng.integers(0, 65536, (200, neardup.CHUNKS * neardup.CHUNK), dtype=np.uint64)
@@ -483,3 +706,38 @@ def test_bradley_terry_orders_by_preference():
     m = quality.bradley_terry(x, y, pairs=5000)
     s = np.array(m.scores(x.tolist()))
     assert ((s >= quality.CUT) == (y == 1)).mean() > 0.95
+
+
+def test_bradley_terry_against_a_plain_fit():
+    rng = np.random.default_rng(32)
+    x = rng.normal(size=(50, 3))
+    y = (x @ [1.0, -0.5, 0.2] + rng.normal(size=50) * 0.8 > 0).astype(int)
+    model = quality.bradley_terry(x, y, pairs=3000)
+    # the same pairs, by plain descent along the gradient
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    draw, n = np.random.default_rng(7), min(3000, len(good) * len(bad))
+    d = z[draw.choice(good, n)] - z[draw.choice(bad, n)]
+    w = np.zeros(3)
+    for _ in range(4000):
+        w -= 0.3 * (2e-4 * w - (d / (1 + np.exp(d @ w))[:, None]).mean(axis=0))
+    assert np.allclose(np.array(model.weights) * x.std(axis=0), w, atol=1e-3)
+    s = np.sort(z @ w)
+    cut = (s[len(bad) - 1] + s[len(bad)]) / 2
+    strength = 4 / np.std(s) * (z @ w - cut) + np.log(0.3 / 0.7)
+    assert np.allclose(model.scores(x.tolist()), 1 / (1 + np.exp(-strength)), atol=1e-3)
+
+
+def test_quality_scores_whole_texts(spark):
+    rng = random.Random(33)
+    rows = [(i, prose(rng, rng.randrange(1, 400)) + (" !! ## | buy now " * rng.randrange(30) if i % 3 == 0 else "")) for i in range(200)] + [(900, None), (901, ""), (None, "no id")]
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(200)], "doc_id long, quality int")
+    model = quality.fit(d, labels)
+    got = {r.doc_id: r for r in quality.score(d, model).collect()}
+    for i, t in rows:
+        own = quality.features(t)
+        z = model.slope * (sum(w * (v - m) for w, v, m in zip(model.weights, own, model.mean, strict=True)) - model.cut) + np.log(0.3 / 0.7)
+        assert abs(got[i].score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9 and got[i].predicted == (got[i].score >= 0.3)
+        assert got[i].held_out == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0)
+    held = [r for r in got.values() if r.held_out and r.doc_id < 200]
+    assert sum(r.predicted == (r.doc_id % 3 != 0) for r in held) >= 0.9 * len(held)
