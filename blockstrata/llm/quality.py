@@ -1,6 +1,8 @@
 """Quality classifier: Bradley-Terry strengths learned from preference pairs.
 
-A document's strength is a weighted sum of its surface features. The weights come
+A document's strength is a weighted sum of features of its whole text: sixteen that
+describe its surface, and the shares of its three-byte sequences in HASHED hashed groups,
+which learn whatever else tells good texts from bad ones. The weights come
 from pairs (preferred, other) of labelled documents, by logistic loss on the
 difference of the pair's features. The cut between keep and reject is a quantile of
 the training strengths: the share of training rows that are marked as bad.
@@ -35,6 +37,10 @@ FEATURES = (
     "bias_words", "upper", "symbols", "shouting", "symbol_tails", "distinct", "repeats", "word_length", "long_words", "digits",
     "bars", "lines", "end_marks", "top_word", "non_ascii", "bigrams",
 )
+#: Groups of three-byte sequences.
+HASHED = 64
+#: How much harder the weights of hashed groups are held back than the others.
+HASHED_RIDGE = 1000.0
 _UPPER = re.compile(r"[A-Z\u00c0-\u00d6\u00d8-\u00de]")
 _SYMBOL = re.compile(r"[#$%&*<>=\\^_{|}~]")
 _SHOUT = re.compile(r"!!")
@@ -42,6 +48,13 @@ _TAIL = re.compile(r"[#$%&*]{2,}(?=\s|$)")
 _DIGIT = re.compile(r"[0-9]")
 
 
+def hashed(text: str) -> list[float]:
+    """Square roots of the shares of a text's three-byte sequences, in lower case, by hashed group."""
+    a = np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
+    group = ((a[:-2] << np.uint32(16) | a[1:-1] << np.uint32(8) | a[2:]) * np.uint32(2654435761)) >> np.uint32(26)
+    return np.sqrt(np.bincount(group, minlength=HASHED) / max(len(group), 1)).tolist()
+
+
 def features(text: str | None) -> list[float]:
     """The features of one whole text, each roughly between 0 and 1."""
     text = text or ""
@@ -69,6 +82,7 @@ def features(text: str | None) -> list[float]:
         max(count.values(), default=0) / n,
         (len(text.encode("utf-8", "replace")) - len(text)) / chars,
         len(set(zip(words, words[1:], strict=False))) / n,
+        *hashed(text),
     ]
 
 
@@ -99,10 +113,11 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = MAX_PAIRS, ridge: f
     n = min(pairs, len(good) * len(bad))
     d = z[rng.choice(good, n)] - z[rng.choice(bad, n)]
     w = np.zeros(x.shape[1])
-    for _ in range(40):  # Newton steps on mean log(1 + exp(-d.w)) + ridge * |w|^2
+    held = ridge * np.where(np.arange(len(w)) < len(FEATURES), 1.0, HASHED_RIDGE)
+    for _ in range(40):  # Newton steps on mean log(1 + exp(-d.w)) + the sum of held * w^2
         p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad = -(d * p[:, None]).mean(axis=0) + 2 * ridge * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / n + 2 * ridge * np.eye(len(w))
+        grad = -(d * p[:, None]).mean(axis=0) + 2 * held * w
+        hess = (d * (p * (1 - p))[:, None]).T @ d / n + 2 * np.diag(held)
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -130,7 +145,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABE
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
     """Learn from at most ``max_labels`` labelled rows; only their features reach the driver."""
     got = sorted((r.doc_id, r.label, tuple(r.x)) for r in training_rows(docs, labels, max_labels).collect())
-    x = np.array([r[2] for r in got], dtype=np.float64).reshape(-1, len(FEATURES))
+    x = np.array([r[2] for r in got], dtype=np.float64).reshape(-1, len(FEATURES) + HASHED)
     return bradley_terry(x, np.array([r[1] for r in got], dtype=int))
 
 
