@@ -9,8 +9,10 @@ is at most <q,p> + |q| (d(c,p) + r), so stored distances rule entries out before
 anything is computed for them. The search opens the node with the highest bound first
 and ends when that is below the k-th score.
 
-A query first searches its home group, then with that k-th score the groups whose
-pivot ball may hold more. Equal vectors share one entry with the k + 1 smallest ids:
+A query first searches its home group, with that k-th score then the foreign group whose
+pivot ball may hold the best, and with the score reached there all others that may still
+hold more. Queries come to the trees in large blocks, so a tree is read once for each
+block and group. Equal vectors share one entry with the k + 1 smallest ids:
 more can't be among k results.
 
 Defined results: vectors that are null or hold null or non-finite components take no
@@ -26,6 +28,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,7 +38,7 @@ from blockstrata.runtime import cut
 
 K, PAGE, FANOUT = 10, 64, 32
 #: Vectors in one tree, queries in one task's block, pivots at most, and vectors that pivots are chosen from.
-PART, QUERIES, PIVOTS, SAMPLE = 16_384, 512, 1_024, 4_096
+PART, QUERIES, PIVOTS, SAMPLE = 16_384, 16_384, 1_024, 4_096
 _SAFE = 1 << 20  # below this, products of 64-bit floats are exact for up to 4096 components
 
 
@@ -86,6 +89,13 @@ class MTree:
         self.vectors, self.ids, self.distance = vectors[order], [ids[k] for k in order], np.array(dist)
         self.floats = self.vectors.astype(np.float64)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "floats"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.floats = self.vectors.astype(np.float64)
+
     def _node(self, router: np.ndarray, to_parent: float) -> int:
         self.router.append(router)
         self.radius.append(0.0)
@@ -211,10 +221,13 @@ def _ask(queries: DataFrame, trees: DataFrame, k: int) -> DataFrame:
         cols: dict = {"query_id": [], "qh": [], "vec_id": [], "score": []}
         if q.num_rows and t.num_rows:
             tree = pickle.loads(t.column("tree")[0].as_py())
-            for i, h, v, floor in zip(*(q.column(c).to_pylist() for c in ("query_id", "qh", "v", "floor")), strict=True):
-                for s, x in tree.search(np.array(v, dtype=np.int64), i, k, floor):
+            v, n = q.column("v").combine_chunks(), 0
+            flat = v.flatten().to_numpy()
+            for i, h, floor, size in zip(*(q.column(c).to_pylist() for c in ("query_id", "qh", "floor")), pc.list_value_length(v).to_pylist(), strict=True):
+                for s, x in tree.search(flat[n : n + size].astype(np.int64), i, k, floor):
                     for name, val in zip(cols, (i, h, x, s), strict=True):
                         cols[name].append(val)
+                n += size
         return pa.table({c: pa.array(v, pa.int64()) for c, v in cols.items()})
 
     return left.groupBy("g", "part", "block").cogroup(right.groupBy("tg", "tpart", "tblock")).applyInArrow(run, "query_id long, qh long, vec_id long, score long")
@@ -230,27 +243,37 @@ def top_k(embeddings: DataFrame, every: int = 100, k: int = K) -> DataFrame:
     queries = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("qh"), "v")
     queries = cut(_group_of(queries, pivots).drop("away"))
     at_home = cut(_ask(queries.withColumn("floor", F.lit(None).cast("long")), trees, k))
-    floors = at_home.groupBy("query_id", "qh").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
-    floors = floors.select("query_id", "qh", F.when(F.size("s") >= k, F.element_at("s", k)).alias("floor"))
     balls = {r.g: r.away for r in trees.groupBy("g").agg(F.max("away").alias("away")).collect() if r.g >= 0}  # PIVOTS at most
 
-    def elsewhere(batches):
-        radius = np.array([balls.get(j, -1.0) for j in range(len(pivots))])
-        for b in batches:
-            out: dict = {n: [] for n in ("query_id", "qh", "v", "g", "floor")}
-            for i, h, v, g, floor in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if g < 0:
-                    continue
-                q = np.array(v, dtype=np.float64)
-                may = pivots @ q + np.sqrt((q**2).sum()) * radius
-                ok = (radius >= 0) & ((may + 1e-9 * np.abs(may) + 1e-6 * (1 + np.sqrt((q**2).sum())) >= floor) if floor is not None else True)
-                for j in np.flatnonzero(ok).tolist():
-                    if j != g:
-                        for n, x in zip(out, (i, h, v, j, floor), strict=True):
-                            out[n].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if n == "v" else pa.int64()) for n, x in out.items()], names=list(out))
-
-    abroad = queries.join(floors, ["query_id", "qh"], "left").select("query_id", "qh", "v", "g", "floor").mapInArrow(elsewhere, "query_id long, qh long, v array<long>, g long, floor long")
-    found = at_home.union(_ask(abroad, trees, k)).distinct()
+    def elsewhere(first: bool):
+        """Queries with the foreign groups that may hold more than their floor: the best one, or all but that one."""
+
+        def run(batches):
+            radius = np.array([balls.get(j, -1.0) for j in range(len(pivots))])
+            for b in batches:
+                out: dict = {n: [] for n in ("query_id", "qh", "v", "g", "floor")}
+                for i, h, v, g, floor in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if g < 0:
+                        continue
+                    q = np.array(v, dtype=np.float64)
+                    size = np.sqrt((q**2).sum())
+                    may = np.where(radius >= 0, pivots @ q + size * radius, -np.inf)
+                    may[g] = -np.inf
+                    best = int(may.argmax())
+                    ok = (may > -np.inf) & ((may + 1e-9 * np.abs(may) + 1e-6 * (1 + size) >= floor) if floor is not None else True)
+                    for j in np.flatnonzero(ok).tolist():
+                        if (j == best) == first:
+                            for n, x in zip(out, (i, h, v, j, floor), strict=True):
+                                out[n].append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if n == "v" else pa.int64()) for n, x in out.items()], names=list(out))
+
+        return run
+
+    found = at_home
+    for first in (True, False):
+        floors = found.groupBy("query_id", "qh").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
+        floors = floors.select("query_id", "qh", F.when(F.size("s") >= k, F.element_at("s", k)).alias("floor"))
+        abroad = queries.join(floors, ["query_id", "qh"], "left").select("query_id", "qh", "v", "g", "floor").mapInArrow(elsewhere(first), "query_id long, qh long, v array<long>, g long, floor long")
+        found = cut(found.union(_ask(abroad, trees, k)).distinct())
     w = Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
