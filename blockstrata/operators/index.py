@@ -24,14 +24,14 @@ def answers(requests: DataFrame, window: int | None = None, buckets: int = 64) -
     Runs between DELETEs are counted, and what came before is carried on, by ranges of seq,
     so a key with a third of all requests is spread over ``buckets`` tasks.
     """
-    bucket = ranges(requests, "seq", buckets)
+    own = requests.withColumn("_range", ranges(requests, "seq", buckets))
     op, meta, seq = F.col("op"), F.col("metadata"), F.col("seq")
-    runs = running_count(requests, "key", "seq", op == "DELETE", "run", bucket=bucket).withColumn("_range", bucket)
+    runs = running_count(own, "key", "seq", op == "DELETE", "run", bucket=F.col("_range"))
     posted, updated = F.when(op == "POST", meta), F.when(op == "UPDATE", meta)
     wrote, fresh = F.when(op.isin(*WRITES), seq), F.when(op.isin(*WRITES, "QUERY"), seq)
     by = ["key", "run", "_range"]
-    own = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    here = {"_posted": F.first(posted, ignorenulls=True).over(own), "_updated": F.last(updated, ignorenulls=True).over(own), "_wrote": F.max(wrote).over(own), "_fresh": F.max(fresh).over(own)}
+    so_far = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    here = {"_posted": F.first(posted, ignorenulls=True).over(so_far), "_updated": F.last(updated, ignorenulls=True).over(so_far), "_wrote": F.max(wrote).over(so_far), "_fresh": F.max(fresh).over(so_far)}
     sums = runs.groupBy(*by).agg(F.min_by(posted, F.when(posted.isNotNull(), seq)).alias("p"), F.max_by(updated, F.when(updated.isNotNull(), seq)).alias("u"), F.max(wrote).alias("w"), F.max(fresh).alias("f"))
     prior = Window.partitionBy("key", "run").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     carried = sums.select(*by, F.first("p", ignorenulls=True).over(prior).alias("_p"), F.last("u", ignorenulls=True).over(prior).alias("_u"), F.max("w").over(prior).alias("_w"), F.max("f").over(prior).alias("_f"))

@@ -12,10 +12,16 @@ from blockstrata import config as C
 def ranges(rows: DataFrame, by: str, buckets: int = 64):
     """A number that ascends with the column ``by`` and has about as many rows for each of its values."""
     edges = rows.select(F.percentile_approx(by, [k / buckets for k in range(1, buckets)], 1000).alias("e")).first()[0] or []  # at most one number a bucket
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + F.when(F.col(by) > e, 1).otherwise(0)
-    return bucket
+    edges = sorted(set(edges))
+
+    def between(lo: int, hi: int):
+        """The number of edges below the value, which lies from ``lo`` to ``hi``, found by halves."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(by) > edges[mid], between(mid + 1, hi)).otherwise(between(lo, mid))
+
+    return between(0, len(edges))
 
 
 def ranks(rows: DataFrame, key: str, order: list[str], name: str, buckets: int = 64, bucket=None) -> DataFrame:
