@@ -131,6 +131,16 @@ class WordHashes:
         size = 0
         for t in texts:
             raw = utf8(t).translate(self.table)
+            if len(raw) > self.HOLD:  # a long text in parts that end where words do
+                out += self._hash(held) if held else []
+                held, size, at, parts = [], 0, 0, []
+                while at < len(raw):
+                    stop = raw.find(b" ", at + self.HOLD)
+                    stop = len(raw) if stop < 0 else stop
+                    parts += self._hash([raw[at:stop]])
+                    at = stop
+                out.append(np.concatenate(parts))
+                continue
             if held and size + len(raw) > self.HOLD:
                 out += self._hash(held)
                 held, size = [], 0

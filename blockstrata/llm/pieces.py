@@ -22,6 +22,8 @@ from blockstrata.llm.common import utf8
 #: White space beyond ASCII: a text that has any is cut by ``_CUT``, which sees all of it.
 _ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+#: Where a piece ends: white space behind another character.
+_END = re.compile(rb"[^\t\n\x0b\x0c\r ](?=[\t\n\x0b\x0c\r ])")
 _SPACE = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
 #: Bytes of texts that are hashed together, and of a piece that is kept.
 HOLD, LONGEST = 1 << 20, 4096
@@ -104,28 +106,64 @@ class PieceMemory:
         flat, sizes = [], []
         held: list[bytes] = []
         size = 0
-        for t in texts:
-            raw = utf8(t)
-            if t and _ODD.search(t):
-                if held:
-                    for col, v in zip((flat, sizes), self._batch(held), strict=True):
-                        col.append(v)
-                    held, size = [], 0
-                pieces = [p.encode() for p in _CUT.findall(raw.decode())]
-                ids, own = self._batch(pieces, cut=False)
-                flat.append(ids)
-                sizes.append(np.array([own.sum()]))
-                continue
-            if held and size + len(raw) > HOLD:
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
                 for col, v in zip((flat, sizes), self._batch(held), strict=True):
                     col.append(v)
                 held, size = [], 0
+
+        for t in texts:
+            raw = utf8(t)
+            odd = bool(t) and _ODD.search(t) is not None
+            if odd or len(raw) > HOLD:
+                flush()
+                own = self._odd(raw) if odd else self._long(raw)
+                flat += own
+                sizes.append(np.array([sum(map(len, own))]))
+                continue
+            if size + len(raw) > HOLD:
+                flush()
             held.append(raw)
             size += len(raw)
-        if held:
-            for col, v in zip((flat, sizes), self._batch(held), strict=True):
-                col.append(v)
-        return (np.concatenate(flat), np.concatenate(sizes)) if flat else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        flush()
+        return (np.concatenate(flat), np.concatenate(sizes)) if flat else (np.empty(0, np.uint32), np.concatenate(sizes) if sizes else np.empty(0, np.int64))
+
+    def _odd(self, raw: bytes) -> list[np.ndarray]:
+        """Ids of a text with white space beyond ASCII, in parts."""
+        out, held, size = [], [], 0
+        for m in _CUT.finditer(raw.decode()):
+            piece = m[0].encode()
+            if len(piece) > HOLD:
+                out += [self._batch(held, cut=False)[0]] if held else []
+                out.append(np.asarray(self.encode([m[0]])[0], dtype=np.uint32))
+                held, size = [], 0
+                continue
+            held.append(piece)
+            size += len(piece)
+            if size > HOLD:
+                out.append(self._batch(held, cut=False)[0])
+                held, size = [], 0
+        return out + ([self._batch(held, cut=False)[0]] if held else [])
+
+    def _long(self, raw: bytes) -> list[np.ndarray]:
+        """Ids of a long text, in parts that end where pieces do; a piece too long to hash goes to the encoder alone."""
+        out, at = [], 0
+        while at < len(raw):
+            m = _END.search(raw, at + HOLD - 1)
+            stop = m.start() + 1 if m else len(raw)
+            if stop - at > 2 * HOLD:
+                early = [x.start() + 1 for x in _END.finditer(raw, at, at + HOLD)]
+                if early:
+                    stop = early[-1]
+                else:
+                    out.append(np.asarray(self.encode([raw[at:stop].decode()])[0], dtype=np.uint32))
+                    at = stop
+                    continue
+            out.append(self._batch([raw[at:stop]])[0])
+            at = stop
+        return out
 
     def _batch(self, raw: list[bytes], cut: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of byte strings; with ``cut`` they are cut into pieces, else they are pieces."""

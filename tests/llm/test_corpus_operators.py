@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA, same, views
 from pyspark.sql import functions as F
 
-from blockstrata.llm import bpe, common, contamination, licenses, neardup, passages, pii, quality, queries, tokencount, tokenfile, topk
+from blockstrata.llm import bpe, common, contamination, licenses, neardup, passages, pieces, pii, quality, queries, tokencount, tokenfile, topk
 from blockstrata.runtime import table_dir
 
 WORDS = "the quick brown fox jumps over lazy dog and ran away from every Ünïcode naïve 東京 word in its path 12 7".split()
@@ -448,6 +448,35 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokenfile.round_trip(none, find).count() == 0
 
 
+def test_piece_memory_against_the_encoder(monkeypatch):
+    own = tokenfile.tokens(queries.vocabulary("byte_bpe_50k.json")())
+    rng = random.Random(34)
+    bits = ["don't", "<|endoftext|>", " ", "  ", "\n", "\t", "\x1c", "é", "\u3000", "\xa0", " \xa0 ", "\u0301", "word", "東京", "12", "\r\n", "a b c", "x" * 70, " \n ", "\u2009"]
+    texts_ = [None, "", " ", "\n", *("".join(rng.choice(bits) for _ in range(rng.randrange(90))) for _ in range(400))]
+    want_ = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts_]
+    for hold, limit in ((1 << 20, 1000), (64, 50), (7, 20)):  # long texts in parts, and a memory that fills
+        monkeypatch.setattr(pieces, "HOLD", hold)
+        memory = pieces.PieceMemory(own._new, limit)
+        for at in range(0, len(texts_), 37):
+            ids, n = memory.ids(texts_[at : at + 37])
+            assert n.tolist() == [len(w) for w in want_[at : at + 37]] and ids.tolist() == [x for w in want_[at : at + 37] for x in w]
+
+
+def test_word_hashes_of_long_texts():
+    rng = random.Random(35)
+    table = contamination._NORMAL
+    texts_ = [None, "", " - ", *("".join(rng.choice("abC é,. 9") for _ in range(rng.randrange(300))) for _ in range(300))]
+    whole, parts = common.WordHashes(table), common.WordHashes(table)
+    parts.HOLD = 16
+    for a, b, t in zip(whole.of(texts_), parts.of(texts_), texts_, strict=True):
+        assert (a == b).all() and len(a) == len(contamination.words(t))
+    seen: dict = {}
+    for a, t in zip(whole.of(texts_), texts_, strict=True):
+        for h, w in zip(a.tolist(), contamination.words(t), strict=True):
+            assert seen.setdefault(h, w) == w
+    assert len(set(seen.values())) == len(seen)
+
+
 # op6
 
 
