@@ -331,6 +331,27 @@ def test_shared_passages_against_brute_force(spark):
     assert len(linked(got) & linked(want)) >= 0.95 * len(linked(want)) and len(linked(got) - linked(want)) <= 2
 
 
+def crossed(rng, fresh, crowd):
+    """Texts of which the last two alone share 60 words: either half also lies in longer runs of two near copies and of one patchwork."""
+    shared, rows = fresh(60), []
+    for half in (shared[:30], shared[30:]):
+        long = fresh(100) + half + fresh(100)
+        quotes = [fresh(30) for _ in range(5)]
+        rows += [long, [*long[:-5], "other", *long[-4:]], sum(quotes[:2], []) + half + sum(quotes[2:], [])]
+        rows += [fresh(40) + q + fresh(40) for q in quotes] + [fresh(40) + half + fresh(40) for _ in range(crowd)]
+    return [*rows, fresh(30) + shared + fresh(30), fresh(20) + shared + fresh(40)]
+
+
+@pytest.mark.parametrize("crowd", [0, 40])
+def test_shared_passages_within_longer_runs_elsewhere(spark, crowd):
+    rng = random.Random(23)
+    rows = crossed(rng, lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)], crowd)
+    last = len(rows) - 1
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")).collect()
+    want = [(1, 0, 0, 230), (9 + crowd, 8 + crowd, 0, 230), (last, last - 1, 20, 80)]
+    assert sorted((r.doc_id, r.other_id, r.start, r.stop) for r in got) == want
+
+
 def any_passage(a, b, least=50, alike=0.8):
     """Whether two texts (arrays of word hashes) share a passage without insertions, by every window of every diagonal."""
     same_ = a[:, None] == b[None, :]
