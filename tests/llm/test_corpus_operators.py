@@ -352,6 +352,18 @@ def test_shared_passages_within_longer_runs_elsewhere(spark, crowd):
     assert sorted((r.doc_id, r.other_id, r.start, r.stop) for r in got) == want
 
 
+def test_document_links(spark, none):
+    rng = random.Random(24)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    shared, other, same_ = fresh(60), fresh(60), ["again"] * 30 + fresh(30)
+    rows = [(i, fresh(30) + shared + fresh(30)) for i in (3, 1, 2)] + [(4, shared), (5, shared), (5, shared), (6, fresh(20) + other), (7, other + fresh(9)), (8, fresh(70)), (9, fresh(20))]
+    rows += [(10, same_), (11, fresh(20) + ["again"] * 40 + same_ + fresh(20)), (None, shared)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows] + [(12, None), (13, "")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in passages.document_links(df).collect())
+    assert got == [*((i, 1, 4) for i in (1, 2, 3, 4, 5)), (6, 6, 1), (7, 6, 1), (8, 8, 0), (9, 9, 0), (10, 10, 1), (11, 10, 1), (12, 12, 0), (13, 13, 0)]
+    assert passages.document_links(none).count() == 0
+
+
 def any_passage(a, b, least=50, alike=0.8):
     """Whether two texts (arrays of word hashes) share a passage without insertions, by every window of every diagonal."""
     same_ = a[:, None] == b[None, :]
