@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from blockstrata.llm.common import id_text, map_rows, utf8
@@ -32,6 +33,12 @@ from blockstrata.llm.pieces import PieceMemory
 _NONE = np.int64(1) << 22
 #: Fewer pieces of like size are merged one by one.
 FEW = 12
+#: Leaves of the trees that are merged side by side; a leaf takes some 60 bytes.
+SIDE = 1 << 18
+#: Pieces that a worker remembers where ids are shipped; other stages run in the same workers.
+KEPT = 500_000
+
+
 class Ranks:
     """The ranks of one vocabulary and the pairs of ids that merge."""
 
@@ -79,7 +86,7 @@ class Ranks:
                 for i in members:
                     out[i] = self._merge_one(pieces[i], size)
                 continue
-            step = max(1, (1 << 21) // size)
+            step = max(1, SIDE // size)
             for at in range(0, len(members), step):
                 self._merge(pieces, members[at : at + step], size, out)
         return out
@@ -131,14 +138,13 @@ class Ranks:
     def _merge_one(self, piece: bytes, size: int) -> np.ndarray:
         """Merge one piece by a tree of ``size`` leaves in plain lists; quicker than arrays for few long pieces."""
         if self.pairs is None:
-            width = int(self.width)
-            self.pairs = {(k // width, k % width): v for k, v in zip(self.key[:-1].tolist(), self.to[:-1].tolist(), strict=True)}
-        n, rank, none = len(piece), self.pairs.get, int(_NONE)
+            self.pairs = dict(zip(self.key[:-1].tolist(), self.to[:-1].tolist(), strict=True))
+        n, rank, none, width = len(piece), self.pairs.get, int(_NONE), int(self.width)
         ids = [int(self.byte_id[c]) for c in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [none * size] * (2 * size)
         for i in range(n - 1):
-            tree[size + i] = rank((ids[i], ids[i + 1]), none) * size + i
+            tree[size + i] = rank(ids[i] * width + ids[i + 1], none) * size + i
         for i in range(size - 1, 0, -1):
             tree[i] = min(tree[2 * i], tree[2 * i + 1])
 
@@ -161,11 +167,11 @@ class Ranks:
             update(gone, none)
             if then < n:
                 before[then] = at
-                update(at, rank((value, ids[then]), none))
+                update(at, rank(value * width + ids[then], none))
             else:
                 update(at, none)
             if before[at] >= 0:
-                update(before[at], rank((ids[before[at]], value), none))
+                update(before[at], rank(ids[before[at]] * width + value, none))
         return np.array([v for v in ids if v >= 0], dtype=np.int64)
 
     @staticmethod
@@ -209,11 +215,12 @@ class Codec:
 _CODECS: dict = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, limit: int = 1_000_000) -> Codec:
     """The codec of a worker process, made once."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    key = path, pattern, limit
+    if key not in _CODECS:
+        _CODECS[key] = Codec(path, pattern, limit)
+    return _CODECS[key]
 
 
 def encode_documents(docs: DataFrame, vocabulary: Callable[[], str], pattern: str) -> DataFrame:
@@ -223,11 +230,14 @@ def encode_documents(docs: DataFrame, vocabulary: Callable[[], str], pattern: st
     """
 
     def make():
-        own = codec(vocabulary(), pattern)
+        own = codec(vocabulary(), pattern, KEPT)
 
         def run(ids, texts):
-            got = [v.tolist() for v in own.encode(texts)]
-            return {"doc_id": ids, "ids": got, "decoded": [own.ranks.decode(v) for v in got]}
+            got = own.encode(texts)
+            ends = np.cumsum([0, *map(len, got)])
+            flat = np.concatenate(got).astype(np.int64) if got else np.empty(0, dtype=np.int64)
+            # a list of numbers at a time: numbers of a whole batch would take nine times their ids
+            return {"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), "decoded": [own.ranks.decode(v.tolist()) for v in got]}
 
         return run
 

@@ -26,7 +26,9 @@ _CUT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _END = re.compile(rb"[^\t\n\x0b\x0c\r ](?=[\t\n\x0b\x0c\r ])")
 _SPACE = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
 #: Bytes of texts that are hashed together, and of a piece that is kept.
-HOLD, LONGEST = 1 << 20, 4096
+HOLD, LONGEST = 1 << 18, 4096
+#: New pieces that are encoded together.
+PART = 1 << 14
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -65,7 +67,7 @@ class PieceMemory:
     def _clear(self) -> None:
         n = 1 << self.bits
         self.k1, self.k2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        self.start, self.size = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.start, self.size = np.zeros(n, np.int32), np.zeros(n, np.uint16)
         self.pool, self.used, self.kept = np.zeros(1 << 16, np.uint32), 0, 0
 
     def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -190,8 +192,8 @@ class PieceMemory:
             short = new[stop[new] - start[new] <= LONGEST]
             _, pick = np.unique(h1[short], return_index=True)
             pick = short[pick]
-            for at in range(0, len(pick), 65536):
-                part = pick[at : at + 65536]
+            for at in range(0, len(pick), PART):
+                part = pick[at : at + PART]
                 if self.kept + len(part) > self.limit * 1.9 or self.used > self.room:
                     break  # full: the rest are encoded below, and the next batch starts anew
                 self._learn(h1[part], h2[part], self.encode([text[i:j].decode() for i, j in zip(start[part].tolist(), stop[part].tolist(), strict=True)]))
@@ -202,7 +204,7 @@ class PieceMemory:
                 got = self.encode([text[i:j].decode() for i, j in zip(start[part].tolist(), stop[part].tolist(), strict=True)])
                 extra.update(zip(part.tolist(), got, strict=True))
         known = np.maximum(slot, 0)
-        n, src = self.size[known].astype(np.int64), self.start[known]
+        n, src = self.size[known].astype(np.int64), self.start[known].astype(np.int64)
         pool = self.pool
         if extra:
             rows = np.array(list(extra), dtype=np.int64)

@@ -557,6 +557,22 @@ def test_merges_take_the_leftmost_lowest_pair():
     assert [v.tolist() for v in r.encode_pieces(pieces)] == [[vocab[p]] if p in vocab else plain(p) for p in pieces]
 
 
+def test_a_bpe_worker_needs_little_memory():
+    import tracemalloc
+
+    import public_tokenizers as P
+
+    rng = random.Random(41)
+    texts_ = [" ".join("".join(rng.choices("abcdefghijkl", k=rng.randrange(2, 16))) for _ in range(400)) for _ in range(150)]
+    tracemalloc.start()
+    try:
+        own = bpe.Codec(queries.vocabulary("byte_bpe_multi_50k.tiktoken")(), P.PATTERN)
+        assert sum(map(len, own.encode(texts_))) > 100_000
+        assert tracemalloc.get_traced_memory()[1] < 130e6
+    finally:
+        tracemalloc.stop()
+
+
 # op7
 
 
