@@ -117,8 +117,9 @@ class _Model:
 
     def __init__(self, lanes: int, start: _Start):
         self.lane = np.arange(lanes, dtype=np.int64)
-        self.one = np.tile(start.one.astype(np.int32), lanes)
-        self.two = np.tile(start.two.astype(np.int32), lanes)
+        # both orders in one array, so that each step below serves the two at once: row 0 is order 1, row 1 order 2
+        self.table = np.concatenate([np.tile(start.one.astype(np.int32), lanes), np.tile(start.two.astype(np.int32), lanes)])
+        self.base = np.stack([self.lane * _ONE, lanes * _ONE + self.lane * _HALF])
         state = np.arange(128)
         first = (state // 16 * 2 + 1) * 65535 // 18 << 16 | (state // 2 % 8 * 2 + 1) * 65535 // 18
         self.weights = np.tile(first.astype(np.uint32), lanes)  # 16 bits for order 2, 16 for order 1
@@ -129,7 +130,7 @@ class _Model:
         self.counts = self.count.ravel()
         self.prev1 = np.zeros(lanes, dtype=np.int64)
         self.prev2 = np.zeros(lanes, dtype=np.int64)
-        self.base1, self.base2, self.base0, self.base_w = self.lane * _ONE, self.lane * _HALF, self.lane * self.n, self.lane * 128
+        self.base0, self.base_w = self.lane * self.n, self.lane * 128
         self.rebuild(lanes)
 
     def rebuild(self, n: int) -> None:
@@ -151,29 +152,34 @@ class _Model:
 
     def predict(self, n: int) -> None:
         """The two predicted ids and their masses, for the ids that follow."""
-        self.at1 = self.base1[:n] + _slot1(self.prev1[:n])
-        self.at2 = self.base2[:n] + _slot2(self.prev1[:n], self.prev2[:n])
-        self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
-        self.c1, self.n1 = self.e1 & 0xFFFF, self.e1 >> 16
-        self.c2, self.n2 = self.e2 & 0xFFFF, self.e2 >> 16
+        self.at = np.empty((2, n), dtype=np.int64)
+        self.at[0] = _slot1(self.prev1[:n])
+        self.at[1] = _slot2(self.prev1[:n], self.prev2[:n])
+        self.at += self.base[:, :n]
+        self.entry = self.table[self.at]
+        self.c, self.conf = self.entry & 0xFFFF, self.entry >> 16
+        self.c1, self.c2 = self.c
         same = self.c1 == self.c2
-        self.state = self.base_w[:n] + ((self.n2 << 4) + (self.n1 << 1) + same)
+        self.state = self.base_w[:n] + ((self.conf[1] << 4) + (self.conf[0] << 1) + same)
         both = self.weights[self.state]
-        self.w2, self.w1 = (both >> np.uint32(16)).astype(np.int32), (both & np.uint32(0xFFFF)).astype(np.int32)
-        self.f2 = self.w2.astype(np.int64) * 237 + 256
-        self.f1 = ((_ROOM - self.f2) * self.w1 >> 16) + 1
+        self.w = np.empty((2, n), dtype=np.int32)
+        self.w[0], self.w[1] = both & np.uint32(0xFFFF), both >> np.uint32(16)
+        self.f2 = self.w[1].astype(np.int64) * 237 + 256
+        self.f1 = ((_ROOM - self.f2) * self.w[0] >> 16) + 1
         self.f1[same] = 0
 
-    def learn(self, n: int, ids: np.ndarray) -> None:
-        """Move the weights, contexts and counts towards the ids that came."""
+    def learn(self, n: int, ids: np.ndarray, ranges: np.ndarray) -> None:
+        """Move the weights, contexts and counts towards the ids that came, which lie in these ranges."""
         x = ids.astype(np.int32)
-        h2, h1 = x == self.c2, x == self.c1
-        w2 = self.w2 + (h2 * np.int32(65535) - self.w2 >> 5)
-        w1 = np.where(h2, self.w1, self.w1 + (h1 * np.int32(65535) - self.w1 >> 5))
-        self.weights[self.state] = w2.astype(np.uint32) << np.uint32(16) | w1.astype(np.uint32)
-        for table, at, entry, conf, hit in ((self.one, self.at1, self.e1, self.n1, h1), (self.two, self.at2, self.e2, self.n2, h2)):
-            table[at] = np.where(hit, np.minimum(entry + 65536, 7 * 65536 + x), np.where(conf > 1, entry - ((conf + 1 >> 1) << 16), x))
-        self.counts[self.base0[:n] + _RANGE[ids]] += _HIT
+        hit = self.c == x
+        move = hit * np.int32(65535) - self.w >> 5
+        move[0] *= ~hit[1]
+        move += self.w
+        low, high = move.view(np.uint32)
+        self.weights[self.state] = high << np.uint32(16) | low
+        missed = np.where(self.conf > 1, self.entry - ((self.conf + 1 >> 1) << 16), x)
+        self.table[self.at] = np.where(hit, np.minimum(self.entry + 65536, 7 * 65536 + x), missed)
+        self.counts[self.base0[:n] + ranges] += _HIT
         self.prev2[:n] = self.prev1[:n]
         self.prev1[:n] = ids
 
@@ -200,6 +206,8 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
     grid = np.zeros(lanes * block, dtype=np.int64)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
+    ranges = _RANGE[grid]
+    inside = (grid - _FIRST[ranges]).astype(np.int32)
     model = _Model(lanes, start)
     low, rng = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
     words = np.zeros((block * 25 // 32 + 4, lanes), dtype=np.uint64)
@@ -213,10 +221,9 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
         x = grid[t, :n]
         f2, f1 = model.f2, model.f1
         h2, h1 = x == model.c2, x == model.c1
-        r = _RANGE[x]
-        cell = model.cells[model.base0[:n] + r]
+        cell = model.cells[model.base0[:n] + ranges[t, :n]]
         q = cell & _SHARE
-        c = (cell >> 24) + (x - _FIRST[r]) * q
+        c = (cell >> 24) + inside[t, :n] * q
         rest = (1 << _TOTAL) - f2 - f1
         lo = c * rest >> _BASE
         start = np.where(h2, 0, np.where(h1, f2, f2 + f1 + lo)).astype(np.uint64)
@@ -232,7 +239,7 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
         low[out] <<= u32
         rng[out] <<= u32
         pos[out] += 1
-        model.learn(n, x)
+        model.learn(n, x, ranges[t, :n])
     every = np.arange(lanes)
     flat[pos * lanes + every] = low >> u32
     flat[(pos + 1) * lanes + every] = low & np.uint64(0xFFFFFFFF)
@@ -296,7 +303,7 @@ def decode_ids(data: bytes) -> np.ndarray:
         rng[m] <<= u32
         pos[m] += 1
         grid[t, :n] = x
-        model.learn(n, x)
+        model.learn(n, x, _RANGE[x])
     ids = begin.alphabet[np.minimum(np.ascontiguousarray(grid.T).ravel()[:total], len(begin.alphabet) - 1)].astype("<u4")  # a broken block may name more
     for k in range(lanes):
         if zlib.crc32(ids[k * block : (k + 1) * block].tobytes()) != sums[k]:
