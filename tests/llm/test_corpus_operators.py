@@ -470,6 +470,41 @@ def test_token_segments_keep_their_bytes():
     assert (tokenfile.decode_ids(data) == x).all()
 
 
+def test_token_segments_of_frames_are_those_of_arrays(spark):
+    def blocks(data):  # all that follows the compressed head
+        return data[28 + int.from_bytes(data[24:28], "little") :]
+
+    rng = np.random.default_rng(8)
+    k = np.arange(6000)
+    cases = [k[:0], k[7:8], k[:65] * 0, rng.integers(0, 65535, 500), rng.zipf(1.3, 5000) % 50257, np.where(k % 7 < 5, k % 7 * 11, k * k % 20011 * (k % 3))]
+    for block in (64, 2048):
+        plain = [tokenfile.encode_ids(x, block) for x in cases]
+        rows = spark.createDataFrame([(i, bytearray(x.astype("<u2").tobytes()), bytearray(d)) for i, (x, d) in enumerate(zip(cases, plain, strict=True))], "i int, ids binary, plain binary")
+        got = rows.select("i", tokenfile.segments(spark, F.col("ids"), block).alias("own"), tokenfile.segment_ids(spark, F.col("plain")).alias("back")).collect()
+        assert len(got) == len(cases)
+        for r in got:
+            assert blocks(bytes(r.own)) == blocks(plain[r.i])
+            assert (tokenfile.decode_ids(bytes(r.own)) == cases[r.i]).all()
+            assert np.frombuffer(bytes(r.back), "<u4").tolist() == cases[r.i].tolist()
+    broken = plain[-1][:-9] + bytes([plain[-1][-9] ^ 255]) + plain[-1][-8:]
+    with pytest.raises(Exception, match="fails its checksum"):
+        spark.createDataFrame([(bytearray(broken),)], "d binary").select(tokenfile.segment_ids(spark, F.col("d"))).collect()
+
+
+def test_new_pieces_are_encoded_together():
+    own = tokenfile.Tokens(queries.vocabulary("byte_bpe_50k.json")(), 1000)
+    rng = random.Random(5)
+    bits = ["a", "don't", "<|endoftext|>", "<|endo", "ft|>", "é", "東京", "12", "!", "\x1c", "\u3000", "\xa0", "\u0301"]
+    new = [*(rng.choice(["", " ", "  ", "\n", " \t", "\u2009"]) + "".join(rng.choice(bits) for _ in range(rng.randrange(1, 5))) + rng.choice(["", "", "", " "]) for _ in range(600)), " ", "x"]
+    asked = []
+    own._ids, ids = lambda t: asked.extend(t) or ids(t), own._ids
+    got = own._new(new)
+    assert [g.tolist() for g in got] == [own.tokenizer.encode(p, add_special_tokens=False).ids for p in new]
+    assert len(asked) < len(new) * 0.75
+    own.width[:] = 1  # where ids do not tell their bytes, each piece is encoded alone
+    assert [g.tolist() for g in own._new(new)] == [g.tolist() for g in got]
+
+
 def test_token_files(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
