@@ -105,8 +105,11 @@ def scrub(slabs: DataFrame, counts: DataFrame, entries_: DataFrame) -> tuple[Dat
 
 
 def replay_slab(counts: DataFrame, entries_: DataFrame) -> DataFrame:
-    """Counts (slab, sbn, count, commit) after the journal entries (slab, sbn, delta, point) that came after each commit point."""
-    e = entries_.join(counts.select("slab", "sbn", "commit"), ["slab", "sbn"], "left").filter(F.col("commit").isNull() | (F.col("point") > F.col("commit")))
+    """Counts (slab, sbn, count, commit) after the journal entries (slab, sbn, delta, point) that came after each commit point.
+
+    Only blocks that have a commit point are looked up; where none has, entries are summed before they are dealt.
+    """
+    e = entries_.join(counts.filter("commit is not null").select("slab", "sbn", "commit"), ["slab", "sbn"], "left").filter(F.col("commit").isNull() | (F.col("point") > F.col("commit")))
     d = e.groupBy("slab", "sbn").agg(F.sum("delta").alias("delta"))
     return counts.join(d, ["slab", "sbn"], "full").select("slab", "sbn", (F.coalesce("count", F.lit(0)) + F.coalesce("delta", F.lit(0))).alias("count"))
 

@@ -680,14 +680,13 @@ good AS (SELECT g.* FROM g, head, stop WHERE block >= head AND block < stop AND
 def _crash(spark, d):
     """A journal whose blocks are days of shipping, the map before its head, and its recovery."""
     day = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).cast("long")
-    w = T.mapping_journal(table_dir(spark, d, "lineitem"))
-    w = w.withColumn("block", F.datediff("point.l_shipdate", F.lit("1992-01-01").cast("date")).cast("long"))
+    block = F.datediff("point.l_shipdate", F.lit("1992-01-01").cast("date")).cast("long")
+    w = _writes(spark, d)
     days = table_dir(spark, d, "lineitem").select(day.alias("seq")).distinct().withColumns({"ok": F.lit(True), "count": F.lit(C.JOURNAL_ENTRIES_PER_BLOCK)})
     head = days.agg(F.min("seq")).first()[0] + 20
-    old, new = w.filter(F.col("block") < head), w.filter(F.col("block") >= head)
-    entries = J.entries(w).join(w.select("lbn", "point", "block"), ["lbn", "point"]).filter(F.col("block") >= head)
-    start = M.latest(old, "lbn")
-    counts = R.counts(start).select(F.shiftright("pbn", 16).alias("slab"), (F.col("pbn") % 65536).alias("sbn"), F.col("refs").alias("count"), F.lit(None).cast(dict(new.dtypes)["point"]).alias("commit"))
+    entries = J.entries(w).withColumn("block", block).filter(F.col("block") >= head)
+    start = M.latest(w.filter(block < head), "lbn")
+    counts = R.counts(start).select(F.shiftright("pbn", 16).alias("slab"), (F.col("pbn") % 65536).alias("sbn"), F.col("refs").alias("count"), F.lit(None).cast(dict(w.dtypes)["point"]).alias("commit"))
     return V.crash_recovery(days, entries, start, counts, head)
 
 

@@ -27,14 +27,14 @@ def crash_recovery(blocks: DataFrame, entries: DataFrame, block_map: DataFrame,
 
     ``counts`` has slab, sbn, count and commit; a physical block is slab * 2^16 + sbn here.
     """
-    good = entries.join(J.contiguous(blocks, head).select(F.col("seq").alias("block")), "block", "left_semi")
+    end = J.contiguous(blocks, head).agg(F.max("seq").alias("_end"))  # one row; no block from the head to it is missing
+    good = entries.crossJoin(F.broadcast(end)).filter((F.col("block") >= head) & (F.col("block") <= F.col("_end"))).drop("_end")
     lost = J.missing_decrements(good, block_map)
     ups = good.filter("delta > 0")
     new_map = M.put(block_map, ups.select("lbn", "pbn", "point"))
-    both = good.select("pbn", "delta", "point").unionByName(lost.select(F.col("target").alias("pbn"), F.lit(-1).alias("delta"), F.lit(None).cast(dict(good.dtypes)["point"]).alias("point")))
-    slabs = both.select(F.shiftright("pbn", 16).alias("slab"), (F.col("pbn") % 65536).alias("sbn"), "delta", "point")
-    replay = slabs.filter("point is not null")
-    extra = slabs.filter("point is null").groupBy("slab", "sbn").agg(F.sum("delta").alias("extra"))
+    place = lambda pbn: [F.shiftright(pbn, 16).alias("slab"), (F.col(pbn) % 65536).alias("sbn")]
+    replay = good.select(*place("pbn"), "delta", "point")
+    extra = lost.groupBy(*place("target")).agg(F.sum(F.lit(-1)).alias("extra"))
     after = J.replay_slab(counts, replay).join(extra, ["slab", "sbn"], "full").select("slab", "sbn", (F.coalesce("count", F.lit(0)) + F.coalesce("extra", F.lit(0))).alias("count"))
     return Recovered(new_map, after, lost, J.usage(good))
 

@@ -146,6 +146,28 @@ def test_crash_recovery_conserves_counts(spark):
     assert {r[0]: r[1] for r in rows(out.counts.filter("count <> 0"), "sbn", "count")} == {101: 1, 60: 1}
 
 
+def test_recovery_deals_the_journal_once(spark):
+    from conftest import DATA
+
+    from blockstrata.plans import catalog
+
+    for name, most in (("q92_recovered_counts", 3),):
+        plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines()
+        sorts = [x for x in plan if " Window [lag(pbn" in x]
+        assert 1 <= len(sorts) <= most and not any("l_extendedprice" in x for x in plan)
+        assert not any("Join [" in x and "point#" in x.split("Join [")[1] for x in plan)  # no join of entries by their points
+
+
+def test_journal_order_with_ties(spark):
+    from blockstrata.sources import streams
+
+    day = "timestamp '1995-01-01 00:00:00'"
+    li = spark.sql(f"SELECT * FROM VALUES ({day}, 7L, 1, 3L, 9L, 'A'), ({day}, 7L, 1, 3L, 4L, 'B'), ({day}, 7L, 1, 3L, 9L, 'C') AS t(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag)")
+    w = streams.mapping_journal(li)
+    assert rows(w.sparkSession.createDataFrame(J.entries(w).collect(), J.entries(w).schema), "pbn", "delta") == [(5, -1), (5, 1), (10, -1), (10, 1), (10, 1)]
+    assert "l_returnflag" not in w.select("point.*").columns
+
+
 def test_rebuild_skips_damage(spark):
     e = spark.createDataFrame([(7, 100, 1, 1, True), (8, 101, 2, 1, False)], "lbn long, pbn long, point long, delta int, ok boolean")
     out = recovery.rebuild(e, F.col("ok"), spark.createDataFrame([(9, 60)], "lbn long, pbn long"), 10)
