@@ -151,7 +151,7 @@ def test_recovery_deals_the_journal_once(spark):
 
     from blockstrata.plans import catalog
 
-    for name, most in (("q92_recovered_counts", 3),):
+    for name, most in (("q91_crash_recovery", 1), ("q92_recovered_counts", 3)):
         plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines()
         sorts = [x for x in plan if " Window [lag(pbn" in x]
         assert 1 <= len(sorts) <= most and not any("l_extendedprice" in x for x in plan)
