@@ -113,9 +113,10 @@ def probe(index: DataFrame, names: DataFrame) -> DataFrame:
     An entry with the full name is certain; without one the entry of the key alone is a
     hint, which a chapter must confirm.
     """
-    exact = index.filter("full is not null").select("list", "address", F.col("full").alias("name"), F.col("chapter").alias("certain"))
+    exact = index.filter("full is not null").select(F.col("list").alias("_list"), F.col("address").alias("_address"), F.col("full").alias("_full"), F.col("chapter").alias("certain"))
     hint = index.filter("full is null").select("list", "address", F.col("chapter").alias("hint"))
-    out = names.join(exact, ["list", "address", "name"], "left").join(hint, ["list", "address"], "left")
+    same_key = F.col("list").between(F.col("_list"), F.col("_list")) & F.col("address").between(F.col("_address"), F.col("_address"))  # no key of the join, so names alone deal the rows
+    out = names.join(hint, ["list", "address"], "left").join(exact, (F.col("name") == F.col("_full")) & same_key, "left")
     return out.select(*names.columns, F.coalesce("certain", "hint").alias("chapter"), F.col("certain").isNotNull().alias("is_collision"))
 
 
@@ -127,8 +128,9 @@ def lookup(names: DataFrame, index: DataFrame, open_records: DataFrame, chapter_
     """
     hit = probe(index, names)
     in_open = open_records.select("name", F.lit(True).alias("in_open")).distinct()
-    in_volume = chapter_records.select("chapter", "name", F.lit(True).alias("in_volume")).distinct()
-    out = hit.join(in_open, "name", "left").join(in_volume, ["chapter", "name"], "left")
+    in_volume = chapter_records.select(F.col("chapter").alias("_chapter"), F.col("name").alias("_name")).repartition("_name").distinct().withColumn("in_volume", F.lit(True))
+    there = (F.col("name") == F.col("_name")) & F.col("chapter").between(F.col("_chapter"), F.col("_chapter"))  # dealt by name, as after the probe
+    out = hit.join(in_open, "name", "left").join(in_volume, there, "left")
     here = F.col("chapter") == newest
     place = F.when(here & F.col("in_open"), "open").when(~here & F.col("in_volume"), "volume").otherwise("none")
     return out.select(*names.columns, "chapter", "is_collision", place.alias("location"))

@@ -322,6 +322,20 @@ def test_lookup_with_keys_that_collide(spark):
     assert {r.is_collision for r in out.filter("list = 0").collect()} == {True, False}
 
 
+def test_lookup_cuts_texts_once(spark):
+    from conftest import DATA
+
+    from blockstrata.plans import catalog
+
+    plan = catalog.queries()["q87_index_lookup"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Generate" not in plan
+    records = spark.createDataFrame([("a", 0, 0, 1), ("b", 0, 0, 2)], "name string, list long, address long, chapter long")
+    volume = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("c", 1)], "name string, chapter long")
+    asked = spark.createDataFrame([("a", 0, 0), ("a", 0, 0), ("b", 0, 0), ("b", 1, 0), ("c", 0, 0)], "name string, list long, address long")
+    out = I.lookup(asked, I.volume_index(records), records.filter("chapter = 2"), volume, 2)
+    assert rows(out.fillna(-1), "name", "list", "chapter", "location") == [("a", 0, 1, "volume"), ("a", 0, 1, "volume"), ("b", 0, 2, "open"), ("b", 1, -1, "none"), ("c", 0, 1, "volume")]
+
+
 def test_shared_folder_is_required_on_a_cluster():
     from types import SimpleNamespace as S
 
