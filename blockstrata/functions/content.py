@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from blockstrata import config as C
 
@@ -57,9 +57,9 @@ def murmur128(blocks: list[bytes], seed: int = C.NAME_SEED) -> list[bytes]:
 def murmur_name(data: Column) -> Column:
     """The 16-byte name of each binary block."""
 
-    @pandas_udf("binary")
-    def name(s: pd.Series) -> pd.Series:
-        return pd.Series(murmur128(s.tolist()), dtype=object)
+    @arrow_udf("binary")
+    def name(s: pa.Array) -> pa.Array:
+        return pa.array(murmur128(s.to_pylist()), pa.binary())
 
     return name(data)
 
@@ -67,11 +67,9 @@ def murmur_name(data: Column) -> Column:
 def compressed_size(data: Column) -> Column:
     """LZ4 size of each block, or one more than a block where it is no use."""
 
-    @pandas_udf("long")
-    def size(s: pd.Series) -> pd.Series:
-        import pyarrow as pa
-
-        return pd.Series([None if b is None else n if (n := len(pa.compress(b, codec="lz4_raw", asbytes=True))) <= C.MAX_FRAGMENT else C.BLOCK_BYTES + 1 for b in s])
+    @arrow_udf("long")
+    def size(s: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else n if (n := len(pa.compress(b, codec="lz4_raw", asbytes=True))) <= C.MAX_FRAGMENT else C.BLOCK_BYTES + 1 for b in s.to_pylist()], pa.int64())
 
     return size(data)
 
@@ -79,11 +77,9 @@ def compressed_size(data: Column) -> Column:
 def compress(data: Column) -> Column:
     """LZ4 form of each block."""
 
-    @pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        import pyarrow as pa
-
-        return pd.Series([None if b is None else pa.compress(b, codec="lz4_raw", asbytes=True) for b in s], dtype=object)
+    @arrow_udf("binary")
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else pa.compress(b, codec="lz4_raw", asbytes=True) for b in s.to_pylist()], pa.binary())
 
     return run(data)
 
@@ -99,10 +95,8 @@ def fragment(sizes: Column, area: Column, slot: Column) -> Column:
 def decompress(data: Column, size: int = C.BLOCK_BYTES) -> Column:
     """The block of each LZ4 fragment; null where it does not give a whole block."""
 
-    @pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        import pyarrow as pa
-
+    @arrow_udf("binary")
+    def run(s: pa.Array) -> pa.Array:
         def one(b):
             try:
                 out = pa.decompress(b, decompressed_size=size, codec="lz4_raw", asbytes=True)
@@ -110,6 +104,6 @@ def decompress(data: Column, size: int = C.BLOCK_BYTES) -> Column:
                 return None
             return out if len(out) == size else None
 
-        return pd.Series([None if b is None else one(b) for b in s], dtype=object)
+        return pa.array([None if b is None else one(b) for b in s.to_pylist()], pa.binary())
 
     return run(data)

@@ -20,7 +20,7 @@ from blockstrata.operators import packing as P
 from blockstrata.operators import refs as R
 from blockstrata.operators import stats as S
 from blockstrata.plans import recovery as V
-from blockstrata.runtime import keep, ship, table_dir
+from blockstrata.runtime import arrow_batches, keep, ship, table_dir
 from blockstrata.sources import chapters as H
 from blockstrata.sources import streams as T
 
@@ -257,6 +257,7 @@ def q26_packing(spark, d):
 @query()
 def q27_murmur_names(spark, d):
     ship(spark)
+    arrow_batches(spark)
     return T.byte_blocks(table_dir(spark, d, "documents")).select("doc_id", "n", F.hex(X.murmur_name(F.col("data"))).alias("name"))
 
 

@@ -47,6 +47,22 @@ def test_murmur_agrees_with_known_values():
     assert X.murmur128([b"abc", b"hello", b"abc"], 7)[0] == X.murmur128([b"abc"], 7)[0]
 
 
+def test_murmur_names_come_in_bounded_batches(spark):
+    from conftest import DATA
+
+    from blockstrata.plans import catalog
+
+    size, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf
+    conf.unset(size)
+    got = catalog.queries()["q27_murmur_names"](spark, DATA)
+    assert 0 < int(conf.get(size)) * C.BLOCK_BYTES <= 16 << 20  # bytes a worker has in hand
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString() and not hasattr(X, "pd")
+    data = [None, b"", b"abc", b"hello", bytes(4096)]
+    df = spark.createDataFrame(list(enumerate(data)), "i int, data binary").coalesce(1)
+    want = [None if b is None else X.murmur128([b])[0] for b in data]
+    assert [None if r.v is None else bytes(r.v) for r in df.select("i", X.murmur_name(F.col("data")).alias("v")).orderBy("i").collect()] == want
+
+
 def key_machine(requests):
     held, out = {}, []
     for seq, key, op, new in requests:
