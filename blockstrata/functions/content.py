@@ -75,13 +75,13 @@ def compressed_size(data: Column) -> Column:
 
 
 def compress(data: Column) -> Column:
-    """LZ4 form of each block."""
+    """LZ4 form of each block; called nondeterministic, so that a filter on its length does not make it a second time."""
 
     @arrow_udf("binary")
     def run(s: pa.Array) -> pa.Array:
         return pa.array([None if b is None else pa.compress(b, codec="lz4_raw", asbytes=True) for b in s.to_pylist()], pa.binary())
 
-    return run(data)
+    return run.asNondeterministic()(data)
 
 
 def fragment(sizes: Column, area: Column, slot: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from bisect import insort
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +62,12 @@ def pack(fragments: DataFrame, group: str, seq: str = "seq", size: str = "size")
     Arrival order decides, so a group is folded on one task; a flush generation bounds it.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq, kind="stable")
-        placed = pack_sizes(rows[size].tolist())
-        return rows.assign(block=[b for b, _ in placed], slot=[s for _, s in placed])[[group, seq, size, "block", "slot"]]
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(seq, "ascending")]))
+        placed = pack_sizes(rows[size].to_pylist())
+        return rows.append_column("block", pa.array([b for b, _ in placed], pa.int64())).append_column("slot", pa.array([s for _, s in placed], pa.int64()))
 
-    return fragments.select(F.col(group).cast("long"), F.col(seq).cast("long"), F.col(size).cast("long")).groupBy(group).applyInPandas(fold, f"{group} long, {seq} long, {size} long, block long, slot long")
+    return fragments.select(F.col(group).cast("long"), F.col(seq).cast("long"), F.col(size).cast("long")).groupBy(group).applyInArrow(fold, f"{group} long, {seq} long, {size} long, block long, slot long")
 
 
 def build_blocks(fragments: DataFrame, *group: str) -> DataFrame:

@@ -63,6 +63,22 @@ def test_murmur_names_come_in_bounded_batches(spark):
     assert [None if r.v is None else bytes(r.v) for r in df.select("i", X.murmur_name(F.col("data")).alias("v")).orderBy("i").collect()] == want
 
 
+def test_fragments_are_compressed_once(spark):
+    from conftest import DATA
+
+    from blockstrata.plans import catalog
+
+    size, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf
+    conf.unset(size)
+    plan = catalog.queries()["q75_fragment_round_trip"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < int(conf.get(size)) * C.BLOCK_BYTES <= 16 << 20  # bytes a worker has in hand
+    assert plan.count("ArrowEvalPython") == 5  # once in each of the four readers of fragments, and to read them back
+    frags = [(0, 2, 290), (0, 1, 2000), (1, 7, 4059), (0, 3, 3000), (None, 1, 50)]
+    df = spark.createDataFrame(frags, "generation long, seq long, size long")
+    got = {(r.generation, r.seq): (r.block, r.slot) for r in P.pack(df, "generation").collect()}
+    assert got == {(0, 1): (0, 0), (0, 2): (0, 1), (0, 3): (-1, -1), (1, 7): (-1, -1), (None, 1): (-1, -1)}
+
+
 def key_machine(requests):
     held, out = {}, []
     for seq, key, op, new in requests:
